@@ -5,14 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, mixing
+from lodestar.llm import ann, bpe, mixing, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(topk.quantised(_table(spark, sf_dir, "embeddings")), F.col("id") % 50 == 0, k=5)
+
+
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(ann.searchable(_table(spark, sf_dir, "embeddings")), F.col("id") % 20 == 0, k=20)
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -22,10 +31,13 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_topk": op1_exact_topk,
+    "op3_ann": op3_ann,
     "op4_mix_sources": op4_mix_sources,
     "op9_bpe": op9_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_exact_topk": topk.SQL,
     "op4_mix_sources": mixing.SQL,
 }
