@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import ann, bpe, mixing, topk
+from lodestar.llm import ann, bpe, mixing, neardup, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_table(spark, sf_dir, "documents"), bpe.vocabulary_path())
 
@@ -34,10 +38,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op3_ann": op3_ann,
     "op4_mix_sources": op4_mix_sources,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_bpe": op9_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_topk": topk.SQL,
     "op4_mix_sources": mixing.SQL,
+    "op8_near_duplicates": neardup.SQL,
 }
