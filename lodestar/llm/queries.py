@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import ann, bpe, mixing, neardup, topk
+from lodestar.llm import ann, bpe, mixing, neardup, substring, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(topk.quantised(_table(spark, sf_dir, "embeddings")), F.col("id") % 50 == 0, k=5)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removed(_table(spark, sf_dir, "documents"))
+
+
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(ann.searchable(_table(spark, sf_dir, "embeddings")), F.col("id") % 20 == 0, k=20)
 
@@ -36,6 +40,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_ann": op3_ann,
     "op4_mix_sources": op4_mix_sources,
     "op8_near_duplicates": op8_near_duplicates,
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_topk": topk.SQL,
+    "op2_substring_dedup": substring.SQL,
     "op4_mix_sources": mixing.SQL,
     "op8_near_duplicates": neardup.SQL,
 }
