@@ -40,6 +40,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of texts that pass between the JVM and Python at once.
+TEXTS_PER_BATCH = 512
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session that passes at most TEXTS_PER_BATCH rows to Python at once: texts can be long, and a batch is held several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= TEXTS_PER_BATCH:
+        df.sparkSession.conf.set(key, TEXTS_PER_BATCH)
+    return df
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: this cuts lineage and survives lost executors.
 

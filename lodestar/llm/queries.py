@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import ann, bpe, mixing, neardup, substring, topk
+from lodestar.llm import ann, bpe, html, mixing, neardup, quality, rollups, substring, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,19 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, docs, _table(spark, sf_dir, "labels"))
+
+
+def op7_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.corpus_totals(_table(spark, sf_dir, "documents"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -38,18 +51,28 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_table(spark, sf_dir, "documents"), bpe.vocabulary_path())
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, docs, _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_ann": op3_ann,
     "op4_mix_sources": op4_mix_sources,
+    "op5_main_text": op5_main_text,
+    "op6_toxicity": op6_toxicity,
+    "op7_token_rollups": op7_token_rollups,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_bpe": op9_bpe,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_topk": topk.SQL,
     "op2_substring_dedup": substring.SQL,
     "op4_mix_sources": mixing.SQL,
+    "op7_token_rollups": rollups.SQL,
     "op8_near_duplicates": neardup.SQL,
 }
