@@ -5,10 +5,10 @@ goes on. Each set gets many universal hash minima; runs of six of them, the band
 similarity asked for shares no bucket with a probability of (1 - 0.85**6)**42 < 3e-9.
 
 Buckets never become all their pairs. First each member is compared with its bucket's least member: the signatures are
-compared, then the full sets. Components of these links follow by large-star and small-star. Only buckets that still
-hold different components are looked at again: their members' signatures are compared in blocks, and pairs of different
-components that may be similar enough are confirmed on full sets and linked too. Links within a component are not looked
-for, since they change nothing.
+compared, then the full sets. Components of these links follow by large-star and small-star. Components that still meet
+in a bucket make a family; its members' full sets are compared in pairs of blocks of bounded size, and only links that
+join components leave a task, fewer than it has members. Links within a component are not looked for, since they change
+nothing. The work of a family grows with the square of its members, its output and memory do not.
 
 Defined results: a null or empty text has no shingles and is linked with nothing; fewer than five words are one shingle;
 a row with a null doc_id is linked with nothing, has a null component and is kept; rows that share a doc_id are one node
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import staged
+from lodestar.llm.common import in_small_batches, staged
 from lodestar.llm.components import components
 
 SHINGLE = 5
@@ -38,10 +38,10 @@ BANDS, BAND = 42, 6
 HASHES = BANDS * BAND
 #: Agreeing minima that a pair of the least similarity has but with a probability of about 1e-9: six deviations below the mean.
 LEAST_AGREEING = math.floor(HASHES * PERCENT / 100 - 6 * math.sqrt(HASHES * PERCENT / 100 * (1 - PERCENT / 100)))
-#: Shingles hashed at once, members of a bucket compared at once, words whose hash a worker keeps.
+#: Shingles hashed at once, members of a block, words whose hash a worker keeps.
 CHUNK = 4_096
-BLOCK = 1_024
-KNOWN_WORDS = 300_000
+BLOCK = 256
+KNOWN_WORDS = 150_000
 #: Ids up to which a list of them is broadcast: 16 MB.
 FEW_IDS = 2_000_000
 
@@ -161,69 +161,103 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     return both.where(100 * F.col("both") >= PERCENT * union).select("u", "v").distinct()
 
 
-def _likely_in_blocks(members: DataFrame) -> DataFrame:
-    """(u, v): pairs of one bucket, of different components, whose signatures may be similar enough.
+def _links_in(rows: list[tuple], same_block: bool) -> tuple[list[int], list[int]]:
+    """Links that join components, of rows (block, component, member, set): spanning links only, exact on full sets.
 
-    members has bucket, member, component, sig and size, the members of its bucket. A bucket is cut into blocks, and each
-    pair of blocks is a group of its own, so a group has 2 * BLOCK members at most.
+    A row's shingles are marked once, and counted in all later rows at a time.
+    """
+    sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+    sizes = np.array([len(x) for x in sets])
+    _, numbers = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.r_[0, np.cumsum(sizes)[:-1]]
+    block, member = np.array([r[0] for r in rows]), np.array([r[2] for r in rows])
+    _, root = np.unique([r[1] for r in rows], return_inverse=True)
+    marked = np.zeros(numbers.max() + 1, np.int64)
+    u, v = [], []
+    for k in range(len(rows) - 1):
+        later = np.flatnonzero((root != root[k]) & ((block != block[k]) | same_block))
+        if not len(later := later[later > k]):
+            continue
+        own = numbers[starts[k] : starts[k] + sizes[k]]
+        marked[own] = 1
+        both = np.add.reduceat(marked[numbers[starts[k + 1] :]], starts[k + 1 :] - starts[k + 1])[later - k - 1]
+        marked[own] = 0
+        for at in later[100 * both >= PERCENT * (sizes[k] + sizes[later] - both)]:
+            if root[at] != root[k]:
+                u.append(int(min(member[k], member[at])))
+                v.append(int(max(member[k], member[at])))
+                root[root == root[at]] = root[k]
+    return u, v
+
+
+def _links_in_families(members: DataFrame) -> DataFrame:
+    """(u, v): links between components of one family, enough to join all that are linked.
+
+    members has family, size (its members), member, component and items. A family is cut into blocks, and each pair of
+    blocks is a group of its own, of 2 * BLOCK members at most; only links leave it, fewer than it has members.
     """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("member"), blocks).cast("int")
     dealt = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "member", "component", "sig")
+    dealt = dealt.select("family", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "component", "member", "items")
 
     def run(batches):
         key, rows = None, []
-
-        def pairs():
-            own = np.array([r[0] for r in rows])
-            component, member = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-            sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint16).reshape(len(rows), HASHES)
-            u, v = [], []
-            for k in range(len(rows) - 1):
-                rest = np.flatnonzero((component[k + 1 :] != component[k]) & ((own[k + 1 :] != own[k]) | (key[1] == key[2]))) + k + 1
-                near = rest[(sig[rest] == sig[k]).sum(axis=1) >= LEAST_AGREEING]
-                u.append(np.minimum(member[near], member[k]))
-                v.append(np.maximum(member[near], member[k]))
-            return pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)}) if u else pd.DataFrame({"u": [], "v": []})
-
         for b in batches:
-            for bucket, i, j, mine, member, component, sig in zip(b["bucket"], b["i"], b["j"], b["mine"], b["member"], b["component"], b["sig"], strict=True):
-                if (bucket, i, j) != key:
+            for family, i, j, *row in zip(*(b.column(c).to_pylist() for c in dealt_columns), strict=True):
+                if (family, i, j) != key:
                     if len(rows) > 1:
-                        yield pairs()
-                    key, rows = (bucket, i, j), []
-                rows.append((mine, component, member, sig))
+                        yield made(key, rows)
+                    key, rows = (family, i, j), []
+                rows.append(row)
         if len(rows) > 1:
-            yield pairs()
+            yield made(key, rows)
+
+    def made(key, rows):
+        u, v = _links_in(rows, key[1] == key[2])
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    together = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return together.mapInPandas(run, "u long, v long").distinct()
+    dealt_columns = dealt.columns
+    together = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    return together.mapInArrow(run, "u long, v long").distinct()
+
+
+def _late_links(named: DataFrame, docs: DataFrame) -> DataFrame:
+    """(u, v): links between the components that a bucket still holds. named has bucket, member, component.
+
+    Components that meet in a bucket are one family, and so are those that meet over others.
+    """
+    split = named.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select(F.col("bucket").alias("key"), "least")
+    mixed = staged(named.join(split, F.col("bucket") == F.col("key")).select("member", "component", "least").distinct(), "mixed")
+    families = components(mixed.select(F.col("least").alias("u"), F.col("component").alias("v")))
+    families = families.select(F.col("id").alias("part"), F.col("component").alias("family"))
+    members = mixed.select("member", "component").distinct().join(families, F.col("component") == F.col("part")).select("member", "component", "family")
+    sizes = members.groupBy("family").agg(F.count("*").alias("size")).select(F.col("family").alias("f"), "size")
+    members = staged(members.join(sizes, F.col("family") == F.col("f")).drop("f"), "families")
+    ids = members.select(F.col("member").alias("id"))
+    sets = _sets(_only(docs, "doc_id", ids, ids.count() <= FEW_IDS))
+    return _links_in_families(members.join(sets, F.col("member") == F.col("node")).select("family", "size", "member", "component", "items"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs."""
-    signed = staged(signatures(docs), "signatures")
+    signed = staged(signatures(in_small_batches(docs)), "signatures")
     in_play = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = staged(in_play.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     firsts = classes.select(F.col("rep").alias("doc_id"), "digest")
     reps = staged(in_play.join(firsts, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"]).select("doc_id", "bands", "sig"), "reps")
 
     banded = reps.select(F.col("doc_id").alias("member"), F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("member").alias("leader"), F.max("member").alias("last"), F.count("*").alias("size"))
-    shared = shared.where("leader < last").select(F.col("bucket").alias("key"), "leader", "size")
-    members = staged(banded.join(shared, F.col("bucket") == F.col("key")).select("bucket", "member", "leader", "size"), "members")
+    shared = banded.groupBy("bucket").agg(F.min("member").alias("leader"), F.max("member").alias("last"))
+    shared = shared.where("leader < last").select(F.col("bucket").alias("key"), "leader")
+    members = staged(banded.join(shared, F.col("bucket") == F.col("key")).select("bucket", "member", "leader"), "members")
 
     star = members.where("member <> leader").select(F.col("leader").alias("u"), F.col("member").alias("v")).distinct()
     links = staged(confirmed(star, reps, docs), "links")
     known = components(links)
 
-    named = members.join(known, F.col("member") == F.col("id"), "left").select("bucket", "member", "size", F.coalesce("component", "member").alias("component"))
-    named = staged(named, "named")
-    split = named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select(F.col("bucket").alias("key"))
-    mixed = named.join(split, F.col("bucket") == F.col("key"), "left_semi").join(reps.select("doc_id", "sig"), F.col("member") == F.col("doc_id"))
-    more = confirmed(_likely_in_blocks(mixed.select("bucket", "member", "component", "sig", "size")), reps, docs)
-    more = staged(more, "links")
+    named = members.join(known, F.col("member") == F.col("id"), "left").select("bucket", "member", F.coalesce("component", "member").alias("component"))
+    more = staged(_late_links(staged(named, "named"), docs), "links")
     if not more.isEmpty():
         known = components(links.union(more))
 
