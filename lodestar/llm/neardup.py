@@ -121,7 +121,8 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 def _only(df: DataFrame, column: str, ids: DataFrame, few: bool) -> DataFrame:
     """The rows of df whose column is among ids (id); few says that ids were counted and may be broadcast."""
-    return df.join(F.broadcast(ids) if few else ids, F.col(column) == F.col("id"), "left_semi")
+    wanted = ids.select(F.col("id").alias("_among"))
+    return df.join(F.broadcast(wanted) if few else wanted, F.col(column) == F.col("_among"), "left_semi")
 
 
 def _agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -241,7 +242,8 @@ def _late_links(named: DataFrame, docs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs."""
-    signed = staged(signatures(in_small_batches(docs)), "signatures")
+    docs = in_small_batches(docs).select("doc_id", "text")
+    signed = staged(signatures(docs), "signatures")
     in_play = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = staged(in_play.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     firsts = classes.select(F.col("rep").alias("doc_id"), "digest")
@@ -270,10 +272,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs that near_duplicates keeps, in the columns of docs. Rows with a null doc_id stay."""
-    gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("id")).distinct()
+    gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     gone = staged(gone, "gone")
-    few = gone.count() <= FEW_IDS
-    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("id"), "left_anti")
+    return docs.join(F.broadcast(gone) if gone.count() <= FEW_IDS else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
 SQL = """
