@@ -25,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import in_small_batches
+from lodestar.llm.common import in_small_batches, staged
 
 #: A subtree is a template if so many pages, and such a share of the pages, of its host hold it. A page of s subtrees thus gives its host s / LEAST_SHARE templates at most.
 LEAST_PAGES = 3
 LEAST_SHARE = 0.02
+#: Hosts, and templates of them all, up to which they are broadcast: about 20 MB.
+FEW_HOSTS, FEW_MARKS = 100_000, 2_000_000
 
 # Elements of HTML by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -77,7 +79,13 @@ class Node:
     def is_furniture(self) -> bool:
         if self.tag in FURNITURE_TAGS or self.role in FURNITURE_ROLES:
             return True
-        return bool(self.names) and self.tag not in ("html", "body", "article", "main") and not FURNITURE_NAMES.isdisjoint(_NAME_PART.findall(self.names))
+        return self.is_named_furniture()
+
+    def is_named_furniture(self) -> bool:
+        """Whether a class or id tells so: by any part of a name, but for articles, as other names describe, by a whole name."""
+        if not self.names or self.tag in ("html", "body", "main"):
+            return False
+        return not FURNITURE_NAMES.isdisjoint(self.names.split() if self.tag == "article" else _NAME_PART.findall(self.names))
 
 
 def parse(text: str | None) -> Node:
@@ -153,19 +161,22 @@ def marked(root: Node) -> list[Node]:
 
 
 def _mains(root: Node, gone: set[int] | frozenset[int]) -> list[Node]:
-    """The outermost article elements that are no furniture; without any, the outermost main elements."""
+    """The outermost article elements that are no furniture; without any, the outermost main elements.
+
+    An element that its name makes furniture, such as a frame "with-sidebar", is looked into only if there are none elsewhere.
+    """
     for tag in ("article", "main"):
-        found, todo = [], [root]
-        while todo:
-            node = todo.pop()
-            if node.tag == tag or (tag == "main" and node.role == "main"):
-                if node.names and not FURNITURE_NAMES.isdisjoint(_NAME_PART.findall(node.names)):
-                    continue  # a reader's comment, a teaser
-                found.append(node)
-            elif not node.is_furniture() and node.mark not in gone:
-                todo += [p for p in reversed(node.parts) if isinstance(p, Node)]
-        if found:
-            return found
+        for inner in (False, True):
+            found, todo = [], [root]
+            while todo:
+                node = todo.pop()
+                if node.tag == tag or (tag == "main" and node.role == "main"):
+                    if not node.is_named_furniture():  # as a reader's comment is
+                        found.append(node)
+                elif node.mark not in gone and node.tag not in FURNITURE_TAGS and node.role not in FURNITURE_ROLES and (inner or not node.is_named_furniture()):
+                    todo += [p for p in reversed(node.parts) if isinstance(p, Node)]
+            if found:
+                return found
     return []
 
 
@@ -282,7 +293,10 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     host = F.pandas_udf(lambda url: url.map(host_of), "string")
-    found = templates(pages).select(F.col("host").alias("_host"), "marks")
+    found = staged(templates(pages), "templates").select(F.col("host").alias("_host"), "marks")
+    hosts, marks = found.agg(F.count("*"), F.sum(F.size("marks"))).first()
+    if hosts <= FEW_HOSTS and (marks or 0) <= FEW_MARKS:
+        found = F.broadcast(found)
     rows = pages.select("page_id", "url", "html").withColumn("host", host(F.col("url")))
     rows = rows.join(found, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "host", "marks")
     kind = pages.schema["page_id"].dataType.simpleString()
