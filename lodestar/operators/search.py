@@ -59,20 +59,22 @@ def top_k(rows: DataFrame, query: Sequence[float], k: int | None, dimensions: in
 
 
 def ranked(found: DataFrame, ranges: int | None = None) -> DataFrame:
-    """rank, id, score of all rows (id, score), without gathering them in one task: a range sort, counted by range.
+    """rank, id, score of all rows (id, score), without gathering them in one task.
 
-    The rank is what stands before the range plus the place in it.
+    Scores are cut into ranges at approximate quantiles, of which one list reaches the driver; the rank is what stands in
+    better ranges plus the place within the range.
     """
     parts = ranges or int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = found.repartitionByRange(parts, *_best_first()).sortWithinPartitions(*_best_first())
-    # the place within a partition, in its order: monotonically_increasing_id counts rows from partition << 33
-    placed = ordered.withColumn("_at", F.monotonically_increasing_id())
-    placed = placed.select("id", "score", F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND((1 << 33) - 1).alias("_place"))
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select(F.col("_part").alias("_p"), before.alias("_before"))
-    both = placed.join(F.broadcast(starts), F.col("_part") == F.col("_p"))  # a row for each range
-    return both.select((F.col("_before") + F.col("_place") + 1).cast("int").alias("rank"), "id", "score")
+    numbers = found.select(F.col("score").cast("double").alias("x")).where(~F.isnan("x"))
+    cuts = sorted(set(numbers.approxQuantile("x", [k / parts for k in range(1, parts)], 0.1 / parts))) if parts > 1 else []
+    better = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col("score").cast("double"))) if cuts else F.lit(0)
+    cut = found.withColumn("_range", F.when(F.isnan("score"), len(cuts) + 1).otherwise(better))
+    sizes = cut.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col("_range").alias("_of"), before.alias("_before"))  # a row for each range
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*_best_first()))
+    placed = cut.withColumn("_place", place).join(F.broadcast(starts), F.col("_range") == F.col("_of"))
+    return placed.select((F.col("_before") + F.col("_place")).cast("int").alias("rank"), "id", "score")
 
 
 def filtered_top_k(rows: DataFrame, metadata: DataFrame, predicates: Mapping[str, Scalar] | Sequence[tuple[str, Scalar]], query: Sequence[float], k: int | None, dimensions: int, metric: Metric = Metric.cosine) -> DataFrame:
