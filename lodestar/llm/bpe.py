@@ -19,7 +19,9 @@ null; clashing columns are not read.
 
 from __future__ import annotations
 
+import contextlib
 import functools
+import gc
 import hashlib
 import heapq
 import json
@@ -28,7 +30,7 @@ import os
 import struct
 import unicodedata
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +38,18 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm.common import in_small_batches, staged
+
 #: Words in the lexicon at most, and bytes of a word in it at most: they bound what is broadcast to about 4 MB.
 LEXICON_WORDS = 50_000
 LEXICON_BYTES = 40
-#: Distinct words that a task counts, or a worker keeps the ids of, before it starts anew.
-TABLE_WORDS = 200_000
+#: Distinct chunks between spaces that a task counts, or a worker keeps the tokens of, before it starts anew.
+COUNTED_CHUNKS = 250_000
+KNOWN_CHUNKS = 300_000
+#: Letters of a word from which on merging uses a heap.
+LONG_WORD = 48
 #: Rows of a batch that are worked on at once.
-SLICE = 256
+SLICE = 512
 
 # Fixed values of the tokenizer: its word pattern and Unicode's white space.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -70,6 +77,10 @@ def _patterns():
     return regex.compile(_PATTERN), regex.compile(f"[^\x00-{_AGREED}]"), regex.compile(careful, regex.V1)
 
 
+#: What str.split takes for space and the tokenizer does not.
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
+
+
 def _split_words(text: str) -> list[str]:
     plain, rare, careful = _patterns()
     return (careful if not text.isascii() and rare.search(text) else plain).findall(text)
@@ -95,47 +106,89 @@ class Vocabulary:
         self.suffix = model["end_of_word_suffix"] or ""
         self.ids: dict[str, int] = model["vocab"]
         pairs = (tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"])
-        self.ranks: dict[tuple[str, str], int] = {p: i for i, p in enumerate(pairs)}
+        self.ranks: dict[int, int] = {}  # of the pair with ids a and b, under a << 32 | b
+        self.merged: list[int] = []  # the id that the pair of a rank becomes
+        for rank, (a, b) in enumerate(pairs):
+            self.ranks.setdefault(self.ids[a] << 32 | self.ids[b], rank)
+            self.merged.append(self.ids[a + b])
         self.special: dict[str, int] = {t["content"]: t["id"] for t in raw["added_tokens"]}
         self.tokens: dict[int, str] = {i: t for t, i in (self.ids | self.special).items()}
-        self.letters = byte_letters()
+        self.letters = [self.ids[c] for c in byte_letters()]
+        self.endings = [self.ids[c + self.suffix] for c in byte_letters()]
         self.lead = os.path.commonprefix([*self.special])
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
-    def words(self, text: str | None) -> list[str]:
-        """The words of a text after normalising; a special token stands as itself."""
+    def chunks(self, text: str | None) -> list[str]:
+        """A text after normalising, cut at spaces; a special token stands as itself. No word reaches over two chunks."""
         if not text:
             return []
         if self.splitter is None or self.lead not in text:
-            return _split_words(_normal(text))
+            return self._cut(text)
         out: list[str] = []
         for k, piece in enumerate(self.splitter.split(text)):
-            out.extend((piece,) if k % 2 else _split_words(_normal(piece)))
+            out.extend((piece,) if k % 2 else self._cut(piece))
         return out
 
+    def _cut(self, text: str) -> list[str]:
+        text = _normal(text)
+        return ([text] if _split_words(text) else []) if any(c in text for c in _ODD) else text.split()
+
+    def words(self, text: str | None) -> list[str]:
+        """The words of a text."""
+        return [w for c in self.chunks(text) for w in self.words_of_chunk(c)]
+
+    def words_of_chunk(self, chunk: str) -> list[str]:
+        if chunk.isalpha():  # the common cases: letters only (what Python knows as such, later Unicode does too), or with one sign at the end
+            return [chunk]
+        if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return [chunk] if chunk in self.special else _split_words(chunk)
+
     def merge(self, word: str) -> list[int]:
         """The ids of one word, by merging the pair of least rank, the leftmost first, until none is left."""
         if word in self.special:
             return [self.special[word]]
-        parts: list[str | None] = [self.letters[b] for b in word.encode("utf-8", "replace")]
-        parts[-1] += self.suffix  # type: ignore[operator]
-        n, rank = len(parts), self.ranks.get
+        raw = word.encode("utf-8", "replace")
+        parts = [self.letters[b] for b in raw[:-1]]
+        parts.append(self.endings[raw[-1]])
+        if len(parts) > LONG_WORD:
+            return self._merge_long(parts)
+        rank, never = self.ranks.get, len(self.merged)
+        ranks = [rank(a << 32 | b, never) for a, b in zip(parts, parts[1:])]
+        while ranks and (least := min(ranks)) < never:
+            i = ranks.index(least)
+            del ranks[i], parts[i]
+            parts[i] = one = self.merged[least]
+            if i:
+                ranks[i - 1] = rank(parts[i - 1] << 32 | one, never)
+            if i < len(ranks):
+                ranks[i] = rank(one << 32 | parts[i + 1], never)
+        return parts
+
+    def _merge_long(self, parts: list[int]) -> list[int]:
+        """The same with a heap over a linked list, in n log n."""
+        n, gone = len(parts), -1
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := rank((parts[i], parts[i + 1]))) is not None]
-        heapq.heapify(heap)
+        heap: list[tuple[int, int, int, int]] = []
+
+        def offer(a: int, b: int) -> None:
+            if a >= 0 and b < n and (r := self.ranks.get(parts[a] << 32 | parts[b])) is not None:
+                heapq.heappush(heap, (r, a, parts[a], parts[b]))
+
+        for i in range(n - 1):
+            offer(i, i + 1)
         while heap:
-            _, i, left, right = heapq.heappop(heap)
+            least, i, left, right = heapq.heappop(heap)
             j = after[i]
             if parts[i] != left or j >= n or parts[j] != right:
                 continue  # one of the two has been merged meanwhile
-            parts[i], parts[j] = left + right, None
+            parts[i], parts[j] = self.merged[least], gone
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < n and (r := rank((parts[a], parts[b]))) is not None:
-                    heapq.heappush(heap, (r, a, parts[a], parts[b]))
-        return [self.ids[p] for p in parts if p is not None]
+            offer(before[i], i)
+            offer(i, after[i])
+        return [p for p in parts if p != gone]
 
     def decode(self, ids: Iterable[int]) -> str:
         """Tokens joined by a space; an id that the vocabulary lacks is left out."""
@@ -149,6 +202,98 @@ def _normal(text: str) -> str:
     return text.lower()
 
 
+class Merger:
+    """Merges many words at once: their symbols are rows of a matrix, and each step merges one pair of every row."""
+
+    #: Widest words, in bytes, of the matrices that words are sorted into.
+    WIDTHS = (6, 8, 10, 12, 16, 24, LONG_WORD)
+
+    def __init__(self, vocab: Vocabulary):
+        self.vocab, self.never = vocab, len(vocab.merged)
+        self.none = np.int32(max(vocab.tokens) + 1)  # a symbol that makes no pair
+        self.merged = np.array([*vocab.merged, self.none], np.int32)
+        self.letters, self.endings = np.array(vocab.letters, np.int32), np.array(vocab.endings, np.int32)
+        keys = np.fromiter(vocab.ranks, np.int64, len(vocab.ranks))
+        # ranks by pair in a table with open addressing; a slot that is free has the key -1
+        self.bits = max(8, int(len(keys) * 8).bit_length())
+        self.keys, self.ranks = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, self.never, np.int32)
+        todo, at, values = keys, self._slots(keys), np.fromiter(vocab.ranks.values(), np.int32, len(keys))
+        while len(todo):
+            free = self.keys[at] == -1
+            _, first = np.unique(at[free], return_index=True)
+            won = np.flatnonzero(free)[first]
+            self.keys[at[won]], self.ranks[at[won]] = todo[won], values[won]
+            left = np.setdiff1d(np.arange(len(todo)), won)
+            todo, values, at = todo[left], values[left], (at[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, or never."""
+        keys = (left.astype(np.int64) << 32) | right
+        at = self._slots(keys)
+        found = self.keys[at]
+        same = found == keys
+        out = np.where(same, self.ranks[at], np.int32(self.never))
+        todo = np.flatnonzero(~same & (found != -1))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
+            found = self.keys[at[todo]]
+            hit = found == keys[todo]
+            out[todo[hit]] = self.ranks[at[todo[hit]]]
+            todo = todo[~hit & (found != -1)]
+        return out
+
+    def merge(self, words: list[str]) -> list[list[int]]:
+        """What Vocabulary.merge gives of each word."""
+        out: list[list[int]] = [[]] * len(words)
+        sorted_in: dict[int, list[int]] = {w: [] for w in self.WIDTHS}
+        raw = [w.encode("utf-8", "replace") for w in words]
+        widths = [next((w for w in self.WIDTHS if n <= w), 0) for n in range(LONG_WORD + 1)]
+        for n, b in enumerate(raw):
+            if len(b) > LONG_WORD or words[n] in self.vocab.special:
+                out[n] = self.vocab.merge(words[n])
+            else:
+                sorted_in[widths[len(b)]].append(n)
+        for width, places in sorted_in.items():
+            if not places:
+                continue
+            lengths = np.fromiter((len(raw[n]) for n in places), np.int64, len(places))
+            symbols = np.full((len(places), width + 1), self.none, np.int32)  # the last column stays free
+            data = np.frombuffer(b"".join([raw[n] for n in places]), np.uint8)
+            symbols[np.arange(width + 1) < lengths[:, None]] = self.letters[data]
+            symbols[np.arange(len(places)), lengths - 1] = self.endings[data[np.cumsum(lengths) - 1]]
+            for k, row in self._merged_rows(symbols):
+                out[places[k]] = row
+        return out
+
+    def _merged_rows(self, symbols: np.ndarray):
+        """(row, ids) of each row of symbols, as it is done."""
+        n, width = symbols.shape
+        ranks = self.rank_of(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(n, width - 1)
+        places, rows = np.arange(width), np.arange(n)
+        while len(rows):
+            at = ranks.argmin(axis=1)
+            least = ranks[np.arange(len(rows)), at]
+            done = least == self.never
+            if done.any():
+                lengths = (symbols[done] != self.none).sum(axis=1).tolist()
+                yield from ((k, row[:length]) for k, row, length in zip(rows[done].tolist(), symbols[done].tolist(), lengths, strict=True))
+                rows, symbols, ranks, at, least = rows[~done], symbols[~done], ranks[~done], at[~done], least[~done]
+                if not len(rows):
+                    return
+            k, moved = np.arange(len(rows)), places >= at[:, None] + 1
+            # what stands behind the pair moves up by one
+            symbols[:, :-1] = np.where(moved[:, :-1], symbols[:, 1:], symbols[:, :-1])
+            ranks[:, :-1] = np.where(moved[:, 1:-1], ranks[:, 1:], ranks[:, :-1])
+            ranks[:, -1] = self.never
+            symbols[k, at] = self.merged[least]
+            ranks[k, at] = self.rank_of(symbols[k, at], symbols[k, at + 1])
+            before = np.flatnonzero(at > 0)
+            ranks[before, at[before] - 1] = self.rank_of(symbols[before, at[before] - 1], symbols[before, at[before]])
+
+
 class Lexicon:
     """A minimal acyclic transducer from words to ids, read from a block of bytes."""
 
@@ -167,6 +312,7 @@ class Lexicon:
         self.first, self.skip, self.target = column("I", states + 1), column("I", arcs), column("I", arcs)
         self.start, self.out = column("I", words + 1), column("I", ids)
         self.label, self.final = column("B", arcs), column("B", states)
+        self._arcs: dict[int, dict[int, tuple[int, int]]] = {}  # of states that were visited: target and skip by byte
 
     @classmethod
     def mapped(cls, block: bytes) -> Lexicon:
@@ -182,20 +328,17 @@ class Lexicon:
     def find(self, word: str) -> list[int] | None:
         """The ids of a word; None if the lexicon lacks it."""
         state = place = 0
-        first, label = self.first, self.label
+        visited = self._arcs
         for b in word.encode("utf-8", "replace"):
-            lo, end = first[state], first[state + 1]
-            hi = end
-            while lo < hi:
-                mid = (lo + hi) // 2
-                if label[mid] < b:
-                    lo = mid + 1
-                else:
-                    hi = mid
-            if lo == end or label[lo] != b:
+            arcs = visited.get(state)
+            if arcs is None:
+                at = range(self.first[state], self.first[state + 1])
+                arcs = visited[state] = {self.label[k]: (self.target[k], self.skip[k]) for k in at}
+            arc = arcs.get(b)
+            if arc is None:
                 return None
-            place += self.skip[lo]
-            state = self.target[lo]
+            state = arc[0]
+            place += arc[1]
         return list(self.out[self.start[place] : self.start[place + 1]]) if self.final[state] else None
 
     @classmethod
@@ -254,17 +397,52 @@ class Lexicon:
 
 
 class _Known(dict):
-    """What is wanted of each word, made once; emptied when it is full."""
+    """(ids, tokens, both joined by spaces) of chunks, worked out once each; emptied when it is full."""
 
-    def __init__(self, make: Callable[[str], object]):
+    def __init__(self, vocab: Vocabulary, block: bytes):
         super().__init__()
-        self.make = make
-
-    def __missing__(self, word: str):
-        if len(self) >= TABLE_WORDS:
+        self.vocab, self.lexicon, self.merger = vocab, Lexicon.mapped(block), Merger(vocab)
+        self.numbers = {i: str(i) for i in vocab.tokens}
+
+    def learn(self, chunks: Iterable[str]) -> None:
+        """Make sure that all of some chunks are here: words from the lexicon, or else merged, all at once."""
+        wanted = set(chunks)
+        new = {c for c in wanted if c not in self}
+        if len(self) + 2 * len(new) > KNOWN_CHUNKS and len(self) > KNOWN_CHUNKS // 2:
             self.clear()
-        self[word] = found = self.make(word)
-        return found
+            new = wanted
+        numbers, tokens, words_of = self.numbers, self.vocab.tokens, self.vocab.words_of_chunk
+        split = {c: words_of(c) for c in new}
+        words = {w for ws in split.values() for w in ws if w not in self}
+        ids = {w: self.lexicon.find(w) for w in words}
+        unseen = [w for w, found in ids.items() if found is None]
+        ids.update(zip(unseen, self.merger.merge(unseen), strict=True))
+        for w, found in ids.items():
+            self[w] = " ".join([numbers[i] for i in found]), " ".join([tokens[i] for i in found])
+        for c, ws in split.items():
+            if len(ws) != 1 or ws[0] != c:
+                parts = [self[w] for w in ws]
+                self[c] = " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
+
+    def of(self, texts: list[str | None]) -> list[list[tuple[str, str]]]:
+        """What is here of each text's chunks, in order."""
+        chunks = [self.vocab.chunks(t) for t in texts]
+        self.learn([c for cs in chunks for c in cs])
+        return [[self[c] for c in cs] for cs in chunks]
+
+
+@contextlib.contextmanager
+def _table(vocab: Vocabulary, block: bytes) -> Iterator[_Known]:
+    """The table of one task. It holds strings only, in which the collector would look for cycles again and again; and it
+    goes with the task, as the worker lives on."""
+    known, collects = _Known(vocab, block), gc.isenabled()
+    gc.disable()
+    try:
+        yield known
+    finally:
+        known.clear()
+        if collects:
+            gc.enable()
 
 
 def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,22 +452,41 @@ def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_words(texts: DataFrame, vocab, n: int = LEXICON_WORDS) -> DataFrame:
-    """The n words that are most frequent in all texts, with their counts. Tasks count first, words are shuffled once each."""
+    """The words that are most frequent in all texts, n at most, with their counts.
+
+    Tasks count first, and words are shuffled once each. Words of about the same count come or stay away together.
+    """
 
     def count(batches):
-        words, seen = vocab.value.words, Counter()
+        v, seen = vocab.value, Counter()
+
+        def counts():
+            words: Counter[str] = Counter()
+            for chunk, n in seen.items():
+                for word in v.words_of_chunk(chunk):
+                    words[word] += n
+            seen.clear()
+            return pa.RecordBatch.from_pydict({"word": list(words), "n": list(words.values())}, schema=out)
+
         for batch in _slices(batches):
             for text in batch.column(0).to_pylist():
-                seen.update(words(text))
-            if len(seen) >= TABLE_WORDS:
-                yield pa.RecordBatch.from_pydict({"word": list(seen), "n": list(seen.values())}, schema=out)
-                seen.clear()
+                seen.update(v.chunks(text))
+            if len(seen) >= COUNTED_CHUNKS:
+                yield counts()
         if seen:
-            yield pa.RecordBatch.from_pydict({"word": list(seen), "n": list(seen.values())}, schema=out)
+            yield counts()
 
     out = pa.schema([("word", pa.string()), ("n", pa.int64())])
-    counts = texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return counts.where(F.octet_length("word") <= LEXICON_BYTES).orderBy(F.desc("n"), "word").limit(n)
+    counts = staged(texts.mapInArrow(count, "word string, n long").where(F.octet_length("word") <= LEXICON_BYTES).groupBy("word").agg(F.sum("n").alias("n")), "words")
+    # the least count, in steps of a sixteenth of an octave, down to which there are no more than n words
+    step = F.floor(F.log2("n") * 16).cast("int")
+    least, words = None, 0
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), reverse=True):  # some hundred rows
+        words += r["words"]
+        if words > n:
+            break
+        least = r["step"]
+    return counts.where(F.lit(False) if least is None else step >= least)
 
 
 def lexicon_for(texts: DataFrame, vocab: Vocabulary, shared) -> bytes:
@@ -297,29 +494,19 @@ def lexicon_for(texts: DataFrame, vocab: Vocabulary, shared) -> bytes:
     return Lexicon.compile({r["word"]: vocab.merge(r["word"]) for r in frequent_words(texts, shared).collect()})
 
 
-def _encoder(vocab: Vocabulary, block: bytes) -> Callable[[str], list[int]]:
-    lexicon = Lexicon.mapped(block)
-
-    def encode(word: str) -> list[int]:
-        found = lexicon.find(word)
-        return vocab.merge(word) if found is None else found
-
-    return encode
-
-
 def encode(docs: DataFrame, vocab_path: str, text: str = "text", keep: Iterable[str] = ("doc_id",)) -> DataFrame:
     """The columns keep of docs, with ids array<int> of every whole text."""
-    spark, keep = docs.sparkSession, list(keep)
+    spark, keep = in_small_batches(docs).sparkSession, list(keep)
     vocab = Vocabulary(vocab_path)
     shared = spark.sparkContext.broadcast(vocab)
     block = spark.sparkContext.broadcast(lexicon_for(docs.select(text), vocab, shared))
 
     def run(batches):
         v = shared.value
-        ids = _Known(_encoder(v, block.value))
-        for batch in _slices(batches):
-            rows = [[i for w in v.words(t) for i in ids[w]] for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(rows, pa.list_(pa.int32()))], names=[*keep, "ids"])
+        with _table(v, block.value) as known:
+            for batch in _slices(batches):
+                rows = [np.array(" ".join([x[0] for x in found]).split(), dtype=np.int32) for found in known.of(batch.column(0).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(rows, pa.list_(pa.int32()))], names=[*keep, "ids"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     return docs.select(F.col(text).alias("_text"), *keep).mapInArrow(run, f"{kinds}, ids array<int>")
@@ -338,32 +525,25 @@ def decode(rows: DataFrame, vocab_path: str, ids: str = "ids") -> DataFrame:
 
 def digest(docs: DataFrame, vocab_path: str, keep: Iterable[str] = (), with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, and the hashes of ids and of the decoded text, of every whole text; after them the columns keep and, if asked for, ids."""
-    spark, keep = docs.sparkSession, list(keep)
+    spark, keep = in_small_batches(docs).sparkSession, list(keep)
     vocab = Vocabulary(vocab_path)
     shared = spark.sparkContext.broadcast(vocab)
     block = spark.sparkContext.broadcast(lexicon_for(docs.select("text"), vocab, shared))
 
     def run(batches):
         v = shared.value
-        find = _encoder(v, block.value)
-
-        def both(word: str) -> tuple[str, str]:
-            ids = find(word)
-            return " ".join(map(str, ids)), v.decode(ids)
-
-        known = _Known(both)
-        for batch in _slices(batches):
-            n, of_ids, of_text, all_ids = [], [], [], []
-            for text in batch.column(0).to_pylist():
-                found = [known[w] for w in v.words(text)]
-                ids = " ".join([x[0] for x in found])
-                n.append(ids.count(" ") + 1 if ids else 0)
-                of_ids.append(hashlib.sha256(ids.encode()).hexdigest())
-                of_text.append(hashlib.sha256(" ".join([x[1] for x in found]).encode()).hexdigest())
-                if with_ids:
-                    all_ids.append(np.array(ids.split(), dtype=np.int32))
-            made = [batch.column(1), pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_text), *batch.columns[2:]]
-            yield pa.RecordBatch.from_arrays([*made, pa.array(all_ids, pa.list_(pa.int32()))] if with_ids else made, names=names)
+        with _table(v, block.value) as known:
+            for batch in _slices(batches):
+                n, of_ids, of_text, all_ids = [], [], [], []
+                for found in known.of(batch.column(0).to_pylist()):
+                    ids = " ".join([x[0] for x in found])
+                    n.append(ids.count(" ") + 1 if ids else 0)
+                    of_ids.append(hashlib.sha256(ids.encode()).hexdigest())
+                    of_text.append(hashlib.sha256(" ".join([x[1] for x in found]).encode()).hexdigest())
+                    if with_ids:
+                        all_ids.append(np.array(ids.split(), dtype=np.int32))
+                made = [batch.column(1), pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_text), *batch.columns[2:]]
+                yield pa.RecordBatch.from_arrays([*made, pa.array(all_ids, pa.list_(pa.int32()))] if with_ids else made, names=names)
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *keep, *["ids"] * with_ids]
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select("doc_id", *keep).schema]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -66,6 +67,12 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, which is when Spark removes the shuffle files of tables that nobody holds any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_staged(df: DataFrame) -> None:
     """Remove the staged files that df reads, once nothing needs them."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
