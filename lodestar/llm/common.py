@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +69,20 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that gives its memory back to the system when a task ends: workers live on, and each kind of
+    task that they ran would otherwise keep its share."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def forget_shuffles(spark: SparkSession) -> None:
     """Have the driver collect its garbage, which is when Spark removes the shuffle files of tables that nobody holds any more."""
     gc.collect()

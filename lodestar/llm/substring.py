@@ -7,7 +7,7 @@ function of the window's words alone, so a passage that recurs brings its key ph
 2. Documents are dealt out in bundles of bounded size. A bundle's shard, an Aho-Corasick automaton of the recurring
    phrases that its documents hold, is compiled with pyahocorasick, and the bundle's documents are streamed through it;
    it locates every occurrence. Windows whose key phrase was found are candidates.
-3. Candidates are grouped by a 128-bit hash of all their words; the least document of each is its holder. Every word of
+3. Candidates are grouped by a 96-bit hash of all their words; the least document of each is its holder. Every word of
    a window that is held by a document with a smaller id is removed.
 
 Exact copies need no search: all windows of a text also start in the least document that has the same text. Hot phrases
@@ -32,14 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import drop_staged, staged
+from lodestar.llm.common import drop_staged, forget_shuffles, in_small_batches, staged, tidy
 
 WINDOW = 50
 PHRASE = 8
 #: UTF-8 bytes of text in a bundle.
-BUNDLE_BYTES = 8 << 20
+BUNDLE_BYTES = 4 << 20
 #: Words whose hash a worker keeps.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 150_000
 #: Rows, and interval bounds in them, up to which a table is broadcast: 32 MB.
 FEW_ROWS, FEW_BOUNDS = 1_000_000, 4_000_000
 
@@ -143,12 +143,16 @@ class Shard:
         return np.unique(np.searchsorted(after, ends) - PHRASE + 1)
 
 
-_CANDIDATE = "h1 long, h2 long, doc_id long, tag long, place int"
+_CANDIDATE = "h1 long, h2 int, doc_id long, tag int, span long"
 
 
 def _candidates(docs: pa.Table, phrases: pa.Table) -> pa.Table:
-    """The windows of a bundle's documents whose key phrase its shard locates."""
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("place", pa.int32())])
+    """The windows of a bundle's documents whose key phrase its shard locates.
+
+    Equal windows of a document that overlap or touch, as in a run of one word, are one row: span is the first place,
+    shifted by 32 bits, and how far the last is from it; all words between are covered.
+    """
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("doc_id", pa.int64()), ("tag", pa.int32()), ("span", pa.int64())])
     out, known = [], _WordHashes()
     shard = Shard([p for p in phrases.column("phrase").to_pylist()]) if phrases.num_rows else None
     for batch in docs.to_batches(max_chunksize=128) if shard else ():
@@ -159,19 +163,25 @@ def _candidates(docs: pa.Table, phrases: pa.Table) -> pa.Table:
             h, grams, keys = key_phrases(words, known)
             at = np.flatnonzero(np.isin(keys, grams[places]))
             if len(at):
-                pair = [run_hashes(h, WINDOW, f)[at].view(np.int64) for f in _FACTORS]
-                out.append(pa.RecordBatch.from_arrays([*map(pa.array, pair), pa.array(np.full(len(at), doc_id)), pa.array(np.full(len(at), tag)), pa.array(at.astype(np.int32))], schema=schema))
+                h1, h2 = (run_hashes(h, WINDOW, f)[at] for f in _FACTORS)
+                h2 = (h2 >> np.uint64(32)).astype(np.uint32)
+                order = np.lexsort((at, h2, h1))
+                at, h1, h2 = at[order], h1[order].view(np.int64), h2[order].view(np.int32)
+                first = np.flatnonzero(np.r_[True, (np.diff(at) > WINDOW) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+                last = np.r_[first[1:], len(at)] - 1
+                rows = h1[first], h2[first], np.full(len(first), doc_id), np.full(len(first), tag), at[first] << 32 | (at[last] - at[first])
+                out.append(pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, schema, strict=True)], schema=schema))
     return pa.Table.from_batches(out, schema)
 
 
-def _merged(places: pd.Series) -> pd.Series:
-    """Bounds start, end, start, end, ... of the words that windows at places cover."""
+def _merged(spans: pd.Series) -> pd.Series:
+    """Bounds start, end, start, end, ... of the words that the windows of spans cover."""
     out = []
-    for p in places:
-        p = np.sort(np.asarray(p, dtype=np.int64))
-        new = np.flatnonzero(np.diff(p) > WINDOW) + 1
-        starts, ends = p[np.r_[0, new]], p[np.r_[new - 1, len(p) - 1]] + WINDOW
-        out.append(np.stack([starts, ends], axis=1).ravel().astype(np.int32))
+    for s in spans:
+        s = np.sort(np.asarray(s, dtype=np.int64))
+        start, end = s >> 32, np.maximum.accumulate((s >> 32) + (s & 0xFFFFFFFF) + WINDOW)
+        new = np.flatnonzero(start[1:] > end[:-1]) + 1
+        out.append(np.stack([start[np.r_[0, new]], end[np.r_[new - 1, len(s) - 1]]], axis=1).ravel().astype(np.int32))
     return pd.Series(out)
 
 
@@ -180,7 +190,7 @@ def repeated(docs: DataFrame) -> DataFrame:
 
     tag is a hash of the text; copy marks a text that a smaller document has too; bounds are start, end, ... in words.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tag")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    docs = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("tag")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     texts = docs.select("doc_id", "tag", F.md5("text").alias("whole"), F.octet_length("text").alias("bytes"))
     texts = staged(texts, "texts")
     least = texts.groupBy("whole").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select(F.col("whole").alias("w"), "least")
@@ -191,18 +201,21 @@ def repeated(docs: DataFrame) -> DataFrame:
     firsts = docs.join(F.broadcast(copies) if few else copies, ["doc_id", "tag"], "left_anti")
     firsts = firsts.withColumn("bundle", F.pmod(F.xxhash64("doc_id", "tag"), F.lit(bundles)).cast("int"))
 
-    held = staged(firsts.select("doc_id", "bundle", "text").mapInArrow(_phrases, "phrase binary, doc_id long, bundle int"), "phrases")
+    held = staged(firsts.select("doc_id", "bundle", "text").mapInArrow(tidy(_phrases), "phrase binary, doc_id long, bundle int"), "phrases")
     recurring = held.groupBy("phrase").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select(F.col("phrase").alias("p"))
     shards = staged(held.join(recurring, F.col("phrase") == F.col("p")).select("phrase", F.col("bundle").alias("shard")).distinct(), "shards")
     drop_staged(held)
+    forget_shuffles(docs.sparkSession)
 
     windows = firsts.select("doc_id", "tag", "text", "bundle").groupBy("bundle").cogroup(shards.groupBy("shard")).applyInArrow(_candidates, _CANDIDATE)
     windows = staged(windows, "windows")
+    drop_staged(shards)
+    forget_shuffles(docs.sparkSession)
     holders = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     holders = holders.select(F.col("h1").alias("a"), F.col("h2").alias("b"), "least")
     lost = windows.join(holders, (F.col("h1") == F.col("a")) & (F.col("h2") == F.col("b"))).where("doc_id > least")
-    lost = lost.groupBy("doc_id", "tag").agg(F.collect_list("place").alias("places"))  # a document's own windows: no more than its words
-    spans = lost.select("doc_id", "tag", F.lit(False).alias("copy"), F.pandas_udf(_merged, "array<int>")("places").alias("bounds"))
+    lost = lost.groupBy("doc_id", "tag").agg(F.collect_list("span").alias("spans"))  # a document's own windows: no more than its words
+    spans = lost.select("doc_id", "tag", F.lit(False).alias("copy"), F.pandas_udf(_merged, "array<int>")("spans").alias("bounds"))
     found = staged(spans.union(copies.select("doc_id", "tag", F.lit(True), F.array().cast("array<int>"))), "repeated")
     drop_staged(windows)
     return found
@@ -223,7 +236,7 @@ def _with_spans(docs: DataFrame) -> DataFrame:
     spans = repeated(docs).select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"), F.col("copy").alias("_copy"), F.col("bounds").alias("_bounds"))
     rows, bounds = spans.agg(F.count("*"), F.sum(F.size("_bounds"))).first()
     few = rows <= FEW_ROWS and (bounds or 0) <= FEW_BOUNDS
-    return docs.join(F.broadcast(spans) if few else spans, (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_tag")), "left").drop("_doc", "_tag")
+    return docs.join(F.broadcast(spans) if few else spans, (F.col("doc_id") == F.col("_doc")) & (F.hash("text") == F.col("_tag")), "left").drop("_doc", "_tag")
 
 
 def removed(docs: DataFrame) -> DataFrame:
@@ -240,7 +253,7 @@ def removed(docs: DataFrame) -> DataFrame:
                 sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(sha)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(tidy(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
