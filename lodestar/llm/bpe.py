@@ -24,8 +24,10 @@ import functools
 import gc
 import hashlib
 import heapq
+import itertools
 import json
 import mmap
+import operator
 import os
 import struct
 import unicodedata
@@ -38,14 +40,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import in_small_batches, staged
+from lodestar.llm.common import in_small_batches, staged, tidy
 
 #: Words in the lexicon at most, and bytes of a word in it at most: they bound what is broadcast to about 4 MB.
 LEXICON_WORDS = 50_000
 LEXICON_BYTES = 40
-#: Distinct chunks between spaces that a task counts, or a worker keeps the tokens of, before it starts anew.
+#: Distinct chunks between spaces that a task counts before it passes the counts on, and that it keeps the tokens of.
 COUNTED_CHUNKS = 250_000
-KNOWN_CHUNKS = 300_000
+KNOWN_CHUNKS = 200_000
 #: Letters of a word from which on merging uses a heap.
 LONG_WORD = 48
 #: Rows of a batch that are worked on at once.
@@ -202,70 +204,89 @@ def _normal(text: str) -> str:
     return text.lower()
 
 
-class Merger:
-    """Merges many words at once: their symbols are rows of a matrix, and each step merges one pair of every row."""
-
-    #: Widest words, in bytes, of the matrices that words are sorted into.
-    WIDTHS = (6, 8, 10, 12, 16, 24, LONG_WORD)
+class _Table:
+    """A map from non-negative numbers to small ones, for many keys at a time: open addressing in two arrays."""
 
-    def __init__(self, vocab: Vocabulary):
-        self.vocab, self.never = vocab, len(vocab.merged)
-        self.none = np.int32(max(vocab.tokens) + 1)  # a symbol that makes no pair
-        self.merged = np.array([*vocab.merged, self.none], np.int32)
-        self.letters, self.endings = np.array(vocab.letters, np.int32), np.array(vocab.endings, np.int32)
-        keys = np.fromiter(vocab.ranks, np.int64, len(vocab.ranks))
-        # ranks by pair in a table with open addressing; a slot that is free has the key -1
-        self.bits = max(8, int(len(keys) * 8).bit_length())
-        self.keys, self.ranks = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, self.never, np.int32)
-        todo, at, values = keys, self._slots(keys), np.fromiter(vocab.ranks.values(), np.int32, len(keys))
-        while len(todo):
+    def __init__(self, keys: np.ndarray, values: np.ndarray, none: int):
+        self.none, self.bits = np.int32(none), max(8, int(len(keys) * 8).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, none, np.int32)
+        at = self._slots(keys)
+        while len(keys):
             free = self.keys[at] == -1
             _, first = np.unique(at[free], return_index=True)
             won = np.flatnonzero(free)[first]
-            self.keys[at[won]], self.ranks[at[won]] = todo[won], values[won]
-            left = np.setdiff1d(np.arange(len(todo)), won)
-            todo, values, at = todo[left], values[left], (at[left] + 1) & ((1 << self.bits) - 1)
+            self.keys[at[won]], self.values[at[won]] = keys[won], values[won]
+            left = np.setdiff1d(np.arange(len(keys)), won)
+            keys, values, at = keys[left], values[left], (at[left] + 1) & ((1 << self.bits) - 1)
 
     def _slots(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
 
-    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The rank of each pair, or never."""
-        keys = (left.astype(np.int64) << 32) | right
+    def get(self, keys: np.ndarray) -> np.ndarray:
         at = self._slots(keys)
         found = self.keys[at]
         same = found == keys
-        out = np.where(same, self.ranks[at], np.int32(self.never))
+        out = np.where(same, self.values[at], self.none)
         todo = np.flatnonzero(~same & (found != -1))
         while len(todo):
             at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
             found = self.keys[at[todo]]
             hit = found == keys[todo]
-            out[todo[hit]] = self.ranks[at[todo[hit]]]
+            out[todo[hit]] = self.values[at[todo[hit]]]
             todo = todo[~hit & (found != -1)]
         return out
 
+
+#: Widest words, in bytes, of the matrices that words are sorted into.
+WIDTHS = (6, 8, 10, 12, 16, 24, LONG_WORD)
+_WIDTH_OF = [next(w for w in WIDTHS if n <= w) for n in range(LONG_WORD + 1)]
+
+
+def _matrices(raw: list[bytes], places: Iterable[int]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """The words at places, none longer than LONG_WORD, as rows of bytes by width: their places, lengths and bytes."""
+    by_width: dict[int, list[int]] = {w: [] for w in WIDTHS}
+    for n in places:
+        by_width[_WIDTH_OF[len(raw[n])]].append(n)
+    for width, own in by_width.items():
+        if own:
+            lengths = np.fromiter((len(raw[n]) for n in own), np.int64, len(own))
+            rows = np.zeros((len(own), width), np.uint8)
+            rows[np.arange(width) < lengths[:, None]] = np.frombuffer(b"".join([raw[n] for n in own]), np.uint8)
+            yield own, lengths, rows
+
+
+class Merger:
+    """Merges many words at once: their symbols are rows of a matrix, and each step merges one pair of every row."""
+
+    def __init__(self, vocab: Vocabulary):
+        self.vocab, self.never = vocab, len(vocab.merged)
+        self.none = np.int32(max(vocab.tokens) + 1)  # a symbol that makes no pair
+        self.merged = np.array([*vocab.merged, self.none], np.int32)
+        self.letters, self.endings = np.array(vocab.letters, np.int32), np.array(vocab.endings, np.int32)
+        n = len(vocab.ranks)
+        self.ranks = _Table(np.fromiter(vocab.ranks, np.int64, n), np.fromiter(vocab.ranks.values(), np.int32, n), self.never)
+
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, or never."""
+        return self.ranks.get((left.astype(np.int64) << 32) | right)
+
     def merge(self, words: list[str]) -> list[list[int]]:
         """What Vocabulary.merge gives of each word."""
-        out: list[list[int]] = [[]] * len(words)
-        sorted_in: dict[int, list[int]] = {w: [] for w in self.WIDTHS}
         raw = [w.encode("utf-8", "replace") for w in words]
-        widths = [next((w for w in self.WIDTHS if n <= w), 0) for n in range(LONG_WORD + 1)]
+        out: list[list[int]] = [[]] * len(words)
+        short = []
         for n, b in enumerate(raw):
             if len(b) > LONG_WORD or words[n] in self.vocab.special:
                 out[n] = self.vocab.merge(words[n])
             else:
-                sorted_in[widths[len(b)]].append(n)
-        for width, places in sorted_in.items():
-            if not places:
-                continue
-            lengths = np.fromiter((len(raw[n]) for n in places), np.int64, len(places))
+                short.append(n)
+        for places, lengths, rows in _matrices(raw, short):
+            k, width = np.arange(len(places)), rows.shape[1]
             symbols = np.full((len(places), width + 1), self.none, np.int32)  # the last column stays free
-            data = np.frombuffer(b"".join([raw[n] for n in places]), np.uint8)
-            symbols[np.arange(width + 1) < lengths[:, None]] = self.letters[data]
-            symbols[np.arange(len(places)), lengths - 1] = self.endings[data[np.cumsum(lengths) - 1]]
-            for k, row in self._merged_rows(symbols):
-                out[places[k]] = row
+            symbols[:, :width] = np.where(np.arange(width) < lengths[:, None], self.letters[rows], self.none)
+            symbols[k, lengths - 1] = self.endings[rows[k, lengths - 1]]
+            for n, row in self._merged_rows(symbols):
+                out[places[n]] = row
         return out
 
     def _merged_rows(self, symbols: np.ndarray):
@@ -312,7 +333,8 @@ class Lexicon:
         self.first, self.skip, self.target = column("I", states + 1), column("I", arcs), column("I", arcs)
         self.start, self.out = column("I", words + 1), column("I", ids)
         self.label, self.final = column("B", arcs), column("B", states)
-        self._arcs: dict[int, dict[int, tuple[int, int]]] = {}  # of states that were visited: target and skip by byte
+        states_of = np.repeat(np.arange(states, dtype=np.int64), np.diff(np.asarray(self.first).astype(np.int64)))
+        self.arcs = _Table(states_of << 8 | np.asarray(self.label), np.arange(arcs, dtype=np.int32), -1)
 
     @classmethod
     def mapped(cls, block: bytes) -> Lexicon:
@@ -325,21 +347,30 @@ class Lexicon:
             f.flush()
             return cls(mmap.mmap(f.fileno(), len(block), access=mmap.ACCESS_READ))
 
+    def find_all(self, words: list[str]) -> list[list[int] | None]:
+        """The ids of each word; None of words that the lexicon lacks. All words walk the automaton side by side."""
+        raw = [w.encode("utf-8", "replace") for w in words]
+        out: list[list[int] | None] = [None] * len(words)
+        skip, target, final = (np.asarray(x).astype(np.int64) for x in (self.skip, self.target, self.final))
+        for places, lengths, rows in _matrices(raw, [n for n, b in enumerate(raw) if 0 < len(b) <= LEXICON_BYTES]):
+            state, place, on = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64), np.arange(len(places))
+            for k in range(rows.shape[1] + 1):
+                ends = on[lengths[on] == k]
+                for n in ends[final[state[ends]] == 1].tolist():
+                    at = int(place[n])
+                    out[places[n]] = list(self.out[self.start[at] : self.start[at + 1]])
+                on = on[lengths[on] > k]
+                if not len(on):
+                    break
+                arc = self.arcs.get(state[on] << 8 | rows[on, k])
+                on, arc = on[arc >= 0], arc[arc >= 0]
+                place[on] += skip[arc]
+                state[on] = target[arc]
+        return out
+
     def find(self, word: str) -> list[int] | None:
-        """The ids of a word; None if the lexicon lacks it."""
-        state = place = 0
-        visited = self._arcs
-        for b in word.encode("utf-8", "replace"):
-            arcs = visited.get(state)
-            if arcs is None:
-                at = range(self.first[state], self.first[state + 1])
-                arcs = visited[state] = {self.label[k]: (self.target[k], self.skip[k]) for k in at}
-            arc = arcs.get(b)
-            if arc is None:
-                return None
-            state = arc[0]
-            place += arc[1]
-        return list(self.out[self.start[place] : self.start[place + 1]]) if self.final[state] else None
+        """The ids of one word."""
+        return self.find_all([word])[0]
 
     @classmethod
     def compile(cls, words: dict[str, list[int]]) -> bytes:
@@ -397,38 +428,53 @@ class Lexicon:
 
 
 class _Known(dict):
-    """(ids, tokens, both joined by spaces) of chunks, worked out once each; emptied when it is full."""
+    """(ids, tokens, both joined by spaces) of chunks. It takes new ones until it is full: the frequent ones come early."""
 
     def __init__(self, vocab: Vocabulary, block: bytes):
         super().__init__()
         self.vocab, self.lexicon, self.merger = vocab, Lexicon.mapped(block), Merger(vocab)
-        self.numbers = {i: str(i) for i in vocab.tokens}
-
-    def learn(self, chunks: Iterable[str]) -> None:
-        """Make sure that all of some chunks are here: words from the lexicon, or else merged, all at once."""
-        wanted = set(chunks)
-        new = {c for c in wanted if c not in self}
-        if len(self) + 2 * len(new) > KNOWN_CHUNKS and len(self) > KNOWN_CHUNKS // 2:
-            self.clear()
-            new = wanted
-        numbers, tokens, words_of = self.numbers, self.vocab.tokens, self.vocab.words_of_chunk
-        split = {c: words_of(c) for c in new}
-        words = {w for ws in split.values() for w in ws if w not in self}
-        ids = {w: self.lexicon.find(w) for w in words}
-        unseen = [w for w, found in ids.items() if found is None]
-        ids.update(zip(unseen, self.merger.merge(unseen), strict=True))
-        for w, found in ids.items():
-            self[w] = " ".join([numbers[i] for i in found]), " ".join([tokens[i] for i in found])
-        for c, ws in split.items():
-            if len(ws) != 1 or ws[0] != c:
-                parts = [self[w] for w in ws]
-                self[c] = " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
+        most = max(vocab.tokens) + 1
+        self.numbers, self.tokens = list(map(str, range(most))), [vocab.tokens.get(i, "") for i in range(most)]
 
     def of(self, texts: list[str | None]) -> list[list[tuple[str, str]]]:
-        """What is here of each text's chunks, in order."""
+        """What belongs to each text's chunks, in order."""
         chunks = [self.vocab.chunks(t) for t in texts]
-        self.learn([c for cs in chunks for c in cs])
-        return [[self[c] for c in cs] for cs in chunks]
+        here, new = {}, []
+        for c in set().union(*chunks):
+            found = self.get(c)
+            if found is None:
+                new.append(c)
+            else:
+                here[c] = found
+        if new:
+            self._work_out(new, here)
+        return [list(map(here.__getitem__, cs)) for cs in chunks]
+
+    def _work_out(self, new: list[str], here: dict[str, tuple[str, str]]) -> None:
+        """Put into here what belongs to chunks that are not known: words from the lexicon, or else merged, all at once."""
+        number, token, words_of = self.numbers.__getitem__, self.tokens.__getitem__, self.vocab.words_of_chunk
+        split = {c: words_of(c) for c in new}
+        fresh = {w for ws in split.values() for w in ws if w not in here}
+        for w in [w for w in fresh if w in self]:
+            here[w] = self[w]
+            fresh.remove(w)
+        words = list(fresh)
+        found = self.lexicon.find_all(words)
+        unseen = [n for n, ids in enumerate(found) if ids is None]
+        for n, ids in zip(unseen, self.merger.merge([words[n] for n in unseen]), strict=True):
+            found[n] = ids
+        for w, ids in zip(words, found, strict=True):
+            here[w] = (number(ids[0]), token(ids[0])) if len(ids) == 1 else (" ".join(map(number, ids)), " ".join(map(token, ids)))
+        for c, ws in split.items():
+            if len(ws) == 2:
+                (a, b), (x, y) = here[ws[0]], here[ws[1]]
+                here[c] = f"{a} {x}", f"{b} {y}"
+            elif len(ws) != 1 or ws[0] != c:
+                parts = [here[w] for w in ws]
+                here[c] = " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
+        room = KNOWN_CHUNKS - len(self)
+        if room > 0:
+            self.update((c, here[c]) for c in itertools.islice(itertools.chain(words, new), room))
 
 
 @contextlib.contextmanager
@@ -477,7 +523,7 @@ def frequent_words(texts: DataFrame, vocab, n: int = LEXICON_WORDS) -> DataFrame
             yield counts()
 
     out = pa.schema([("word", pa.string()), ("n", pa.int64())])
-    counts = staged(texts.mapInArrow(count, "word string, n long").where(F.octet_length("word") <= LEXICON_BYTES).groupBy("word").agg(F.sum("n").alias("n")), "words")
+    counts = staged(texts.mapInArrow(tidy(count), "word string, n long").where(F.octet_length("word") <= LEXICON_BYTES).groupBy("word").agg(F.sum("n").alias("n")), "words")
     # the least count, in steps of a sixteenth of an octave, down to which there are no more than n words
     step = F.floor(F.log2("n") * 16).cast("int")
     least, words = None, 0
@@ -509,7 +555,7 @@ def encode(docs: DataFrame, vocab_path: str, text: str = "text", keep: Iterable[
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(rows, pa.list_(pa.int32()))], names=[*keep, "ids"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(F.col(text).alias("_text"), *keep).mapInArrow(run, f"{kinds}, ids array<int>")
+    return docs.select(F.col(text).alias("_text"), *keep).mapInArrow(tidy(run), f"{kinds}, ids array<int>")
 
 
 def decode(rows: DataFrame, vocab_path: str, ids: str = "ids") -> DataFrame:
@@ -531,15 +577,15 @@ def digest(docs: DataFrame, vocab_path: str, keep: Iterable[str] = (), with_ids:
     block = spark.sparkContext.broadcast(lexicon_for(docs.select("text"), vocab, shared))
 
     def run(batches):
-        v = shared.value
+        v, first, second = shared.value, operator.itemgetter(0), operator.itemgetter(1)
         with _table(v, block.value) as known:
             for batch in _slices(batches):
                 n, of_ids, of_text, all_ids = [], [], [], []
                 for found in known.of(batch.column(0).to_pylist()):
-                    ids = " ".join([x[0] for x in found])
+                    ids = " ".join(map(first, found))
                     n.append(ids.count(" ") + 1 if ids else 0)
                     of_ids.append(hashlib.sha256(ids.encode()).hexdigest())
-                    of_text.append(hashlib.sha256(" ".join([x[1] for x in found]).encode()).hexdigest())
+                    of_text.append(hashlib.sha256(" ".join(map(second, found)).encode()).hexdigest())
                     if with_ids:
                         all_ids.append(np.array(ids.split(), dtype=np.int32))
                 made = [batch.column(1), pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_text), *batch.columns[2:]]
@@ -548,7 +594,7 @@ def digest(docs: DataFrame, vocab_path: str, keep: Iterable[str] = (), with_ids:
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *keep, *["ids"] * with_ids]
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select("doc_id", *keep).schema]
     schema = ", ".join([kinds[0], "n_tokens long, ids_sha256 string, decoded_sha256 string", *kinds[1:], *["ids array<int>"] * with_ids])
-    return docs.select(F.col("text").alias("_text"), "doc_id", *keep).mapInArrow(run, schema)
+    return docs.select(F.col("text").alias("_text"), "doc_id", *keep).mapInArrow(tidy(run), schema)
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
