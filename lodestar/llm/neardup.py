@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import in_small_batches, staged
+from lodestar.llm.common import in_small_batches, staged, tidy
 from lodestar.llm.components import components
 
 SHINGLE = 5
@@ -116,7 +116,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             n, digest, band, sig = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "digest", "bands", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, digest binary, bands array<long>, sig binary")
 
 
 def _only(df: DataFrame, column: str, ids: DataFrame, few: bool) -> DataFrame:
@@ -141,7 +141,7 @@ def _sets(docs: DataFrame) -> DataFrame:
         for ids, texts in _texts(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([shingles(t, known).tobytes() for t in texts], pa.binary())], names=["node", "items"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "node long, items binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "node long, items binary")
 
 
 def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
@@ -220,7 +220,7 @@ def _links_in_families(members: DataFrame) -> DataFrame:
 
     dealt_columns = dealt.columns
     together = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
-    return together.mapInArrow(run, "u long, v long").distinct()
+    return together.mapInArrow(tidy(run), "u long, v long").distinct()
 
 
 def _late_links(named: DataFrame, docs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import in_small_batches
+from lodestar.llm.common import in_small_batches, tidy
 
 #: Labelled rows that a classifier is fitted on at most: those of least hash.
 SAMPLE = 20_000
@@ -130,13 +130,13 @@ def held_out(doc_id: Column, fold: int, folds: int) -> Column:
 def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: int, folds: int) -> DataFrame:
     """(doc_id, text, y) of the training rows: labelled 0 or 1, not held out, SAMPLE of least hash at most, texts once each.
 
-    The chosen ids are broadcast: SAMPLE rows. Of labels that share an id the largest counts.
+    The chosen ids are broadcast: SAMPLE rows. Of labels that share an id, or a text, the largest counts.
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"), fold, folds))
     rows = rows.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(label).cast("int").alias("y"))
     rows = rows.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
     found = in_small_batches(docs).select("doc_id", "text").join(F.broadcast(rows), F.col("doc_id") == F.col("_id")).drop("_id")
-    return found.dropDuplicates(["text"])
+    return found.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("y").alias("y")).select("doc_id", "text", "y")
 
 
 def matrix(rows: DataFrame, lexicon: Lexicon | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,7 +149,7 @@ def matrix(rows: DataFrame, lexicon: Lexicon | None = None) -> tuple[np.ndarray,
             x = [statistics(t, numbers) for t in part.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-    found = rows.select(F.col("doc_id").cast("long"), "y", "text").mapInArrow(run, "doc_id long, y int, x array<double>").toPandas()
+    found = rows.select(F.col("doc_id").cast("long"), "y", "text").mapInArrow(tidy(run), "doc_id long, y int, x array<double>").toPandas()
     found = found.sort_values("doc_id", kind="stable")
     x = np.array(found["x"].tolist(), dtype=float).reshape(len(found), len(NAMES))
     return x, found["y"].to_numpy(dtype=float), found["doc_id"].to_numpy()
@@ -175,4 +175,4 @@ def scored(docs: DataFrame, model: Callable[[np.ndarray], np.ndarray], lexicon:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", held_out(F.col("doc_id"), fold, folds).alias("held_out"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, held_out boolean, score double, predicted int")

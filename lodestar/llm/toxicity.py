@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm import textstats
 from lodestar.llm.boosting import Boosted, Isotonic, sigmoid
-from lodestar.llm.common import staged
+from lodestar.llm.common import staged, tidy
 
 FOLD, FOLDS = 0, 5
 BAR = 0.5
@@ -66,7 +66,7 @@ def learned_lexicon(rows: DataFrame) -> textstats.Lexicon:
         counts = [[n[0], n[1]], *seen.values()]
         yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array([c[0] for c in counts], pa.int64()), pa.array([c[1] for c in counts], pa.int64())], names=["term", "clean", "toxic"])
 
-    counts = staged(rows.select("text", "y").mapInArrow(run, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "terms")
+    counts = staged(rows.select("text", "y").mapInArrow(tidy(run), "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "terms")
     total = counts.where("term = ''").first()
     if total is None:
         return {}
