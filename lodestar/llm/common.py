@@ -43,15 +43,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Rows of texts that pass between the JVM and Python at once.
+#: Rows of texts, and bytes, that pass between the JVM and Python at once.
 TEXTS_PER_BATCH = 512
+BYTES_PER_BATCH = 8 << 20
 
 
 def in_small_batches(df: DataFrame) -> DataFrame:
-    """df, in a session that passes at most TEXTS_PER_BATCH rows to Python at once: texts can be long, and a batch is held several times over."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(key)) <= TEXTS_PER_BATCH:
-        df.sparkSession.conf.set(key, TEXTS_PER_BATCH)
+    """df, in a session that passes at most TEXTS_PER_BATCH rows and BYTES_PER_BATCH to Python at once: texts can be long, and a batch is held several times over."""
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", TEXTS_PER_BATCH), ("maxBytesPerBatch", BYTES_PER_BATCH)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(conf.get(key).rstrip("b")) <= most:
+            conf.set(key, most)
     return df
 
 
