@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import drop_staged, staged
+from lodestar.llm.common import drop_staged, forget_shuffles, staged
 
 #: Rounds after which something must be wrong: the method needs about the squared logarithm of the longest path.
 MOST_ROUNDS = 200
@@ -46,6 +46,7 @@ def components(edges: DataFrame) -> DataFrame:
         starred = staged(_small_star(_large_star(edges)), "edges")
         drop_staged(edges)
         edges, now = starred, _mark(starred)
+        forget_shuffles(edges.sparkSession)  # else the plans of many rounds fill the driver
         if now == before:
             stars = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
             return stars.union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import in_small_batches, staged, tidy
+from lodestar.llm.common import forget_shuffles, in_small_batches, staged, tidy
 from lodestar.llm.components import components
 
 SHINGLE = 5
@@ -254,6 +254,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = shared.where("leader < last").select(F.col("bucket").alias("key"), "leader")
     members = staged(banded.join(shared, F.col("bucket") == F.col("key")).select("bucket", "member", "leader"), "members")
 
+    forget_shuffles(docs.sparkSession)
     star = members.where("member <> leader").select(F.col("leader").alias("u"), F.col("member").alias("v")).distinct()
     links = staged(confirmed(star, reps, docs), "links")
     known = components(links)
@@ -263,6 +264,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not more.isEmpty():
         known = components(links.union(more))
 
+    forget_shuffles(docs.sparkSession)
     found = classes.join(known, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("found"))
     rows = signed.select("doc_id", "n_shingles", "digest").join(found, "digest", "left")
     # rows that share a doc_id but not a set are one node: each finds the component of its own class, which they share through that node
