@@ -14,6 +14,9 @@ from lodestar.llm.common import staged
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Similarity in hundredths from which texts are near copies; op8_near_duplicates asks for 85.
+NEAR_COPIES = 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score of toxicity is below the bar."""
@@ -22,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one of least id."""
-    return neardup.deduplicated(docs)
+    return neardup.deduplicated(docs, NEAR_COPIES)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

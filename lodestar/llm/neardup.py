@@ -1,8 +1,9 @@
 """MinHash near-duplicate detection with exact links.
 
 A document's set is its distinct runs of five words. Documents with equal sets form a class, and only its least member
-goes on. Each set gets many universal hash minima; runs of six of them, the bands, are bucket keys. A pair of the
-similarity asked for shares no bucket with a probability of (1 - 0.85**6)**42 < 3e-9.
+goes on. Each set gets many universal hash minima; runs of a few of them, the bands, are bucket keys. Their length and number
+follow from the similarity asked for (see Scheme): a pair that has it shares no bucket with a probability of MISSED at
+most, (1 - 0.85**6)**42 at 0.85 and (1 - 0.8**5)**50 at 0.8.
 
 Buckets never become all their pairs. First each member is compared with its bucket's least member: the signatures are
 compared, then the full sets. Components of these links follow by large-star and small-star. Components that still meet
@@ -20,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -32,12 +34,11 @@ from lodestar.llm.common import forget_shuffles, in_small_batches, staged, tidy
 from lodestar.llm.components import components
 
 SHINGLE = 5
-#: Similarity in hundredths for a link.
+#: Similarity in hundredths for a link, unless another is asked for.
 PERCENT = 85
-BANDS, BAND = 42, 6
-HASHES = BANDS * BAND
-#: Agreeing minima that a pair of the least similarity has but with a probability of about 1e-9: six deviations below the mean.
-LEAST_AGREEING = math.floor(HASHES * PERCENT / 100 - 6 * math.sqrt(HASHES * PERCENT / 100 * (1 - PERCENT / 100)))
+#: Minima of a set at most, and the probability with which a pair of the least similarity may share no bucket.
+HASHES = 252
+MISSED = 3e-9
 #: Shingles hashed at once, members of a block, words whose hash a worker keeps.
 CHUNK = 4_096
 BLOCK = 256
@@ -49,8 +50,30 @@ _rng = np.random.Generator(np.random.PCG64(20))
 _FACTORS = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 _ADDENDS = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 _WORD_FACTORS = _rng.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BAND_FACTORS = _rng.integers(0, 1 << 63, BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BAND_SALTS = _rng.integers(0, 1 << 63, BANDS, dtype=np.uint64)
+_BAND_FACTORS = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND_SALTS = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+
+
+@dataclass(frozen=True)
+class Scheme:
+    """What follows from the similarity for a link: how many bands of how many minima, and how many minima must agree."""
+
+    percent: int
+    bands: int
+    band: int
+    least_agreeing: int
+
+    @classmethod
+    def of(cls, percent: int) -> Scheme:
+        """The longest bands that miss a pair of the similarity with a probability of MISSED at most, within HASHES minima."""
+        if not 10 <= percent <= 99:
+            raise ValueError(f"a similarity of {percent} hundredths is not among 10 to 99")
+        s = percent / 100
+        needed = {band: math.ceil(math.log(MISSED) / math.log1p(-(s**band))) for band in range(1, HASHES + 1)}
+        band = max(band for band, bands in needed.items() if band * bands <= HASHES)
+        n = band * needed[band]
+        # a pair of the least similarity has fewer agreeing minima with a probability of about 1e-9: six deviations below the mean
+        return cls(percent, needed[band], band, math.floor(n * s - 6 * math.sqrt(n * s * (1 - s))))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -81,17 +104,18 @@ def shingles(text: bytes | None, hashes: dict) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
-def minima(x: np.ndarray) -> np.ndarray:
-    """The least value of each universal hash over a set."""
-    low, out = (x >> np.uint64(32)).astype(np.uint32), np.full(HASHES, 0xFFFFFFFF, np.uint32)
+def minima(x: np.ndarray, n: int) -> np.ndarray:
+    """The least value of each of n universal hashes over a set."""
+    low, out = (x >> np.uint64(32)).astype(np.uint32), np.full(n, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(low), CHUNK):
-        np.minimum(out, (low[at : at + CHUNK, None] * _FACTORS + _ADDENDS).min(axis=0), out=out)
+        np.minimum(out, (low[at : at + CHUNK, None] * _FACTORS[:n] + _ADDENDS[:n]).min(axis=0), out=out)
     return out
 
 
-def bands(signature: np.ndarray) -> np.ndarray:
+def bands(signature: np.ndarray, scheme: Scheme) -> np.ndarray:
     """The bucket of each band of a signature."""
-    return _mixed((signature.reshape(BANDS, BAND).astype(np.uint64) * _BAND_FACTORS).sum(axis=1) + _BAND_SALTS).view(np.int64)
+    parts = signature.reshape(scheme.bands, scheme.band).astype(np.uint64)
+    return _mixed((parts * _BAND_FACTORS[: scheme.band]).sum(axis=1) + _BAND_SALTS[: scheme.bands]).view(np.int64)
 
 
 def _texts(batches: Iterable[pa.RecordBatch], size: int = 128) -> Iterator[tuple[list, list]]:
@@ -102,7 +126,7 @@ def _texts(batches: Iterable[pa.RecordBatch], size: int = 128) -> Iterator[tuple
             yield part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, scheme: Scheme) -> DataFrame:
     """doc_id, n_shingles, digest of the set, bands, sig (the low 16 bits of the minima) of every row."""
 
     def run(batches):
@@ -111,8 +135,8 @@ def signatures(docs: DataFrame) -> DataFrame:
             rows = []
             for text in texts:
                 x = shingles(text, known)
-                low = minima(x)
-                rows.append((len(x), hashlib.blake2b(x.tobytes(), digest_size=16).digest(), bands(low), low.astype(np.uint16).tobytes()) if len(x) else (0, None, [], None))
+                low = minima(x, scheme.bands * scheme.band)
+                rows.append((len(x), hashlib.blake2b(x.tobytes(), digest_size=16).digest(), bands(low, scheme), low.astype(np.uint16).tobytes()) if len(x) else (0, None, [], None))
             n, digest, band, sig = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "digest", "bands", "sig"])
 
@@ -144,7 +168,7 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "node long, items binary")
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
     """(u, v): the pairs whose signatures may be, and whose full sets are, similar enough."""
     pairs = staged(pairs, "pairs")
     ids = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
@@ -152,17 +176,17 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     sigs = _only(reps.select("doc_id", "sig"), "doc_id", ids, few)
     left, right = (sigs.select(F.col("doc_id").alias(f"id_{c}"), F.col("sig").alias(f"sig_{c}")) for c in "uv")
     likely = pairs.join(left, F.col("u") == F.col("id_u")).join(right, F.col("v") == F.col("id_v"))
-    likely = staged(likely.where(F.pandas_udf(_agreeing, "int")("sig_u", "sig_v") >= LEAST_AGREEING).select("u", "v").distinct(), "likely")
+    likely = staged(likely.where(F.pandas_udf(_agreeing, "int")("sig_u", "sig_v") >= scheme.least_agreeing).select("u", "v").distinct(), "likely")
     ids = likely.select(F.col("u").alias("id")).union(likely.select(F.col("v").alias("id"))).distinct()
     sets = staged(_sets(_only(docs, "doc_id", ids, ids.count() <= FEW_IDS)), "sets")
     left, right = (sets.select(F.col("node").alias(f"id_{c}"), F.col("items").alias(f"set_{c}")) for c in "uv")
     both = likely.join(left, F.col("u") == F.col("id_u")).join(right, F.col("v") == F.col("id_v"))
     both = both.withColumn("both", F.pandas_udf(_common, "int")("set_u", "set_v"))
     union = F.octet_length("set_u") / 8 + F.octet_length("set_v") / 8 - F.col("both")
-    return both.where(100 * F.col("both") >= PERCENT * union).select("u", "v").distinct()
+    return both.where(100 * F.col("both") >= scheme.percent * union).select("u", "v").distinct()
 
 
-def _links_in(rows: list[tuple], same_block: bool) -> tuple[list[int], list[int]]:
+def _links_in(rows: list[tuple], same_block: bool, percent: int) -> tuple[list[int], list[int]]:
     """Links that join components, of rows (block, component, member, set): spanning links only, exact on full sets.
 
     A row's shingles are marked once, and counted in all later rows at a time.
@@ -183,7 +207,7 @@ def _links_in(rows: list[tuple], same_block: bool) -> tuple[list[int], list[int]
         marked[own] = 1
         both = np.add.reduceat(marked[numbers[starts[k + 1] :]], starts[k + 1 :] - starts[k + 1])[later - k - 1]
         marked[own] = 0
-        for at in later[100 * both >= PERCENT * (sizes[k] + sizes[later] - both)]:
+        for at in later[100 * both >= percent * (sizes[k] + sizes[later] - both)]:
             if root[at] != root[k]:
                 u.append(int(min(member[k], member[at])))
                 v.append(int(max(member[k], member[at])))
@@ -191,7 +215,7 @@ def _links_in(rows: list[tuple], same_block: bool) -> tuple[list[int], list[int]
     return u, v
 
 
-def _links_in_families(members: DataFrame) -> DataFrame:
+def _links_in_families(members: DataFrame, percent: int) -> DataFrame:
     """(u, v): links between components of one family, enough to join all that are linked.
 
     members has family, size (its members), member, component and items. A family is cut into blocks, and each pair of
@@ -215,7 +239,7 @@ def _links_in_families(members: DataFrame) -> DataFrame:
             yield made(key, rows)
 
     def made(key, rows):
-        u, v = _links_in(rows, key[1] == key[2])
+        u, v = _links_in(rows, key[1] == key[2], percent)
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     dealt_columns = dealt.columns
@@ -223,7 +247,7 @@ def _links_in_families(members: DataFrame) -> DataFrame:
     return together.mapInArrow(tidy(run), "u long, v long").distinct()
 
 
-def _late_links(named: DataFrame, docs: DataFrame) -> DataFrame:
+def _late_links(named: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """(u, v): links between the components that a bucket still holds. named has bucket, member, component.
 
     Components that meet in a bucket are one family, and so are those that meet over others.
@@ -237,13 +261,14 @@ def _late_links(named: DataFrame, docs: DataFrame) -> DataFrame:
     members = staged(members.join(sizes, F.col("family") == F.col("f")).drop("f"), "families")
     ids = members.select(F.col("member").alias("id"))
     sets = _sets(_only(docs, "doc_id", ids, ids.count() <= FEW_IDS))
-    return _links_in_families(members.join(sets, F.col("member") == F.col("node")).select("family", "size", "member", "component", "items"))
+    return _links_in_families(members.join(sets, F.col("member") == F.col("node")).select("family", "size", "member", "component", "items"), percent)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of docs."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of docs; sets of a similarity of percent hundredths or more are linked."""
+    scheme = Scheme.of(percent)
     docs = in_small_batches(docs).select("doc_id", "text")
-    signed = staged(signatures(docs), "signatures")
+    signed = staged(signatures(docs, scheme), "signatures")
     in_play = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = staged(in_play.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     firsts = classes.select(F.col("rep").alias("doc_id"), "digest")
@@ -256,11 +281,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     forget_shuffles(docs.sparkSession)
     star = members.where("member <> leader").select(F.col("leader").alias("u"), F.col("member").alias("v")).distinct()
-    links = staged(confirmed(star, reps, docs), "links")
+    links = staged(confirmed(star, reps, docs, scheme), "links")
     known = components(links)
 
     named = members.join(known, F.col("member") == F.col("id"), "left").select("bucket", "member", F.coalesce("component", "member").alias("component"))
-    more = staged(_late_links(staged(named, "named"), docs), "links")
+    more = staged(_late_links(staged(named, "named"), docs, percent), "links")
     if not more.isEmpty():
         known = components(links.union(more))
 
@@ -272,9 +297,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that near_duplicates keeps, in the columns of docs. Rows with a null doc_id stay."""
-    gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = near_duplicates(docs, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     gone = staged(gone, "gone")
     return docs.join(F.broadcast(gone) if gone.count() <= FEW_IDS else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
 
