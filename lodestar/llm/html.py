@@ -1,17 +1,18 @@
 """Main text of web pages by removal of site templates.
 
 Every element's subtree is hashed: its tag, class, id and text, and its children's hashes. Spark counts, for each host,
-the pages that hold a subtree; subtrees that recur on many of a host's pages are its template and are deleted from each
-of them. Paragraphs, headings and list items of an article are never taken for a template, as articles quote and repeat
-each other. Of what remains, elements that are furniture by tag, role, class or id go as well (a host of few pages shows
+the pages that hold a subtree, where pages of equal text without furniture count once; subtrees that recur on many of a
+host's pages are its template and are deleted from each of them. Paragraphs, headings and list items of an article are
+never taken for a template, as articles quote and repeat each other; elsewhere a paragraph or heading goes only if most
+pages of the host hold it, and what stands inside one goes or stays with it. A subtree that holds most of a page's text or
+of its paragraphs is never deleted: the pages that share it are copies, and count once for what it holds. Of what remains, elements that are furniture by tag, role, class or id go as well (a host of few pages shows
 no template), and if an article or main element is left, the text is what that holds.
 
 A block is what stands between the bounds of block elements. Character references are decoded, white space inside a block
 becomes one space, empty blocks go, and blocks are joined by a line feed in page order.
 
 Defined results: null or empty html gives an empty text; a url without a host, or a null one, counts as the host ""; broken
-markup is read as browsers do in the common cases (unclosed paragraphs, items, cells; a stray < is text); repeated rows
-count as pages of their own; an empty table gives an empty result; columns other than page_id, url and html are not read.
+markup is read as browsers do in the common cases (unclosed paragraphs, items, cells; a stray < is text); an empty table gives an empty result; columns other than page_id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from lodestar.llm.common import in_small_batches, staged
 #: A subtree is a template if so many pages, and such a share of the pages, of its host hold it. A page of s subtrees thus gives its host s / LEAST_SHARE templates at most.
 LEAST_PAGES = 3
 LEAST_SHARE = 0.02
+#: The share for paragraphs and headings, which pages also quote from each other.
+PARAGRAPH_SHARE = 0.5
 #: Hosts, and templates of them all, up to which they are broadcast: about 20 MB.
 FEW_HOSTS, FEW_MARKS = 100_000, 2_000_000
 
@@ -47,6 +50,8 @@ CLOSES = {
 }
 #: Text of an article, of whatever kind it is.
 CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tbody thead tr td th figure figcaption a b i em strong span small sub sup code q cite u s br img hr main article body html".split())
+#: Elements that go or stay whole; the lowest bit of a mark tells them.
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
 FURNITURE_TAGS = frozenset("head script style noscript template nav header footer aside form button select input textarea iframe object svg canvas dialog menu title".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 FURNITURE_NAMES = frozenset(
@@ -64,7 +69,7 @@ _HOST = re.compile(r"\A\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?
 class Node:
     """An element: its tag, its named attributes, and its parts, which are texts and elements."""
 
-    __slots__ = ("mark", "names", "parts", "role", "tag")
+    __slots__ = ("mark", "names", "paragraphs", "parts", "role", "size", "tag")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.names, self.role, self.parts, self.mark = tag, "", "", [], 0
@@ -146,7 +151,7 @@ def _close(stack: list[Node], tags: set[str], bound: set[str]) -> None:
 
 
 def marked(root: Node) -> list[Node]:
-    """All elements, each with the hash of its subtree as mark: a signed number of 64 bits."""
+    """All elements, each with the hash of its subtree as mark: a signed number of 64 bits, odd for paragraphs."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
@@ -156,7 +161,7 @@ def marked(root: Node) -> list[Node]:
         h = blake2b(f"{node.tag}|{node.names}|".encode(), digest_size=8)
         for part in node.parts:
             h.update(part.mark.to_bytes(8, "big", signed=True) if isinstance(part, Node) else b"|" + " ".join(part.split()).encode("utf-8", "replace"))
-        node.mark = int.from_bytes(h.digest(), "big", signed=True)
+        node.mark = int.from_bytes(h.digest(), "big", signed=True) & ~1 | (node.tag in PARAGRAPHS)
     return order
 
 
@@ -181,7 +186,7 @@ def _mains(root: Node, gone: set[int] | frozenset[int]) -> list[Node]:
 
 
 def candidates(root: Node) -> set[int]:
-    """The marks of the subtrees of a page that may be a template: all but the text of its main part, what holds a main part, and empty ones."""
+    """The marks of the subtrees of a page that may be a template: all but the text of its main part, what holds a main part, what stands in a paragraph, and empty ones."""
     mains = _mains(root, frozenset())
     inside, holders = set(), {id(m) for m in mains}
     todo = list(mains)
@@ -191,24 +196,47 @@ def candidates(root: Node) -> set[int]:
         todo += [p for p in node.parts if isinstance(p, Node)]
 
     found: set[int] = set()
+    quoted: set[int] = set()
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         order.append(node)
-        todo += [p for p in node.parts if isinstance(p, Node)]
+        below = [p for p in node.parts if isinstance(p, Node)]
+        if node.tag in PARAGRAPHS or id(node) in quoted:
+            quoted.update(map(id, below))
+        todo += below
     filled: set[int] = set()
     for node in reversed(order):  # children before parents
         if any(isinstance(p, Node) and id(p) in holders for p in node.parts):
             holders.add(id(node))
         if any(id(p) in filled if isinstance(p, Node) else not p.isspace() for p in node.parts):
             filled.add(id(node))
-            if id(node) not in holders and node.tag and node.tag not in ("html", "body") and not (id(node) in inside and node.tag in CONTENT):
+            if id(node) not in holders and id(node) not in quoted and node.tag and node.tag not in ("html", "body") and not (id(node) in inside and node.tag in CONTENT):
                 found.add(node.mark)
     return found
 
 
-def main_text(root: Node, gone: set[int] | frozenset[int]) -> str:
-    """The text of a marked page without the subtrees whose marks are in gone."""
+def _weigh(root: Node) -> None:
+    """Each element's size, the characters of its words, and its paragraphs, both without furniture inside it."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += [p for p in node.parts if isinstance(p, Node)]
+    for node in reversed(order):
+        node.size = node.paragraphs = 0
+        for part in node.parts:
+            if isinstance(part, str):
+                node.size += sum(map(len, part.split()))
+            elif not part.is_furniture():
+                node.size += part.size
+                node.paragraphs += part.paragraphs
+        if node.tag == "p" and node.size:
+            node.paragraphs += 1
+
+
+def main_text(root: Node, gone: dict[int, int] | frozenset[int]) -> str:
+    """The text of a marked page without the subtrees whose marks are in gone, which tells how many pages hold each."""
     blocks: list[str] = []
     current: list[str] = []
 
@@ -219,19 +247,34 @@ def main_text(root: Node, gone: set[int] | frozenset[int]) -> str:
                 blocks.append(" ".join(words))
             current.clear()
 
-    def spare(node: Node, inside: bool) -> bool:
-        return node.mark in gone and not (inside and node.tag in CONTENT)
-
     mains = _mains(root, gone)
-    for top in mains or [root]:
+    tops = mains or [root]
+    if gone:
+        _weigh(root)
+        size, paragraphs = sum(t.size for t in tops), sum(t.paragraphs for t in tops)
+
+    def spare(node: Node) -> bool:
+        """Whether a template; the pages that share what holds most of this one count once."""
+        if node.mark not in gone or (mains and node.tag in CONTENT):
+            return False
+        if 2 * node.size > size or 2 * node.paragraphs > paragraphs:
+            copies.append(max(gone[node.mark], copies[-1]))
+            todo.append(copies)  # met again after what the subtree holds
+            return False
+        return gone[node.mark] - copies[-1] + 1 >= LEAST_PAGES
+
+    for top in tops:
         todo: list = [top]
+        copies = [1]
         while todo:
             part = todo.pop()
             if isinstance(part, str):
                 current.append(part)
             elif part is None:
                 end()
-            elif part is top or not (part.is_furniture() or spare(part, bool(mains))):
+            elif part is copies:
+                copies.pop()
+            elif part is top or not (part.is_furniture() or spare(part)):
                 if part.tag in BLOCK:
                     end()
                     todo.append(None)
@@ -255,49 +298,53 @@ def _slices(batches, size: int = 128) -> Iterator[pa.RecordBatch]:
 
 
 def _subtrees(batches):
-    """(host, mark, n): how many of a few pages at a time hold a subtree; mark 0 counts the pages."""
+    """(host, body, marks): of every page the hash of its text without furniture, and its subtrees."""
     for part in _slices(batches, 1024):
-        counts: dict[tuple[str, int], int] = {}
+        found: dict[tuple[str, int], list[int]] = {}
         for url, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-            host = host_of(url)
             root = parse(text)
             marked(root)
-            for mark in (0, *candidates(root)):
-                counts[host, mark] = counts.get((host, mark), 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in counts], pa.string()), pa.array([m for _, m in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["host", "mark", "n"])
+            body = blake2b(main_text(root, frozenset()).encode("utf-8", "replace"), digest_size=8).digest()
+            key, marks = (host_of(url), int.from_bytes(body, "big", signed=True)), sorted(candidates(root))
+            found[key] = min(found.get(key, marks), marks)
+        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.string()), pa.array([b for _, b in found], pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))], names=["host", "body", "marks"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, marks): the subtrees that recur on many pages of a host; their number is bounded by LEAST_SHARE."""
-    counts = in_small_batches(pages).select("url", "html").mapInArrow(_subtrees, "host string, mark long, n long").groupBy("host", "mark").agg(F.sum("n").alias("n"))
-    pages_of = counts.where("mark = 0").select(F.col("host").alias("_host"), F.col("n").alias("_pages"))
-    often = counts.where((F.col("mark") != 0) & (F.col("n") >= LEAST_PAGES)).join(pages_of, F.col("host") == F.col("_host")).where(F.col("n") >= F.col("_pages") * LEAST_SHARE)
-    return often.groupBy("host").agg(F.collect_list("mark").alias("marks"))
+    """(host, marks, n): the subtrees that recur on many pages of a host, and on how many; their number is bounded by LEAST_SHARE."""
+    bodies = in_small_batches(pages).select("url", "html").mapInArrow(_subtrees, "host string, body long, marks array<long>")
+    bodies = staged(bodies.groupBy("host", "body").agg(F.min("marks").alias("marks")), "bodies")
+    pages_of = bodies.groupBy(F.col("host").alias("_host")).agg(F.count("*").alias("_pages"))
+    counts = bodies.select("host", F.explode("marks").alias("mark")).groupBy("host", "mark").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
+    share = F.when(F.col("mark") % 2 == 0, LEAST_SHARE).otherwise(PARAGRAPH_SHARE)
+    often = counts.join(pages_of, F.col("host") == F.col("_host")).where(F.col("n") >= F.col("_pages") * share)
+    often = often.groupBy("host").agg(F.collect_list(F.struct("mark", "n")).alias("found"))
+    return often.select("host", F.col("found.mark").alias("marks"), F.col("found.n").alias("n"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
 
     def run(batches):
-        sets: dict[str, frozenset[int]] = {}
+        sets: dict[str, dict[int, int]] = {}
         for part in _slices(batches):
             texts = []
-            for host, text, marks in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), part.column("marks"), strict=True):
+            for host, text, marks, n in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), part.column("marks"), part.column("n"), strict=True):
                 if host not in sets:
                     if len(sets) >= 1_000:
                         sets.clear()
-                    sets[host] = frozenset(marks.as_py() or ())
+                    sets[host] = dict(zip(marks.as_py() or (), n.as_py() or (), strict=True))
                 root = parse(text)
                 marked(root)
                 texts.append(main_text(root, sets[host]))
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     host = F.pandas_udf(lambda url: url.map(host_of), "string")
-    found = staged(templates(pages), "templates").select(F.col("host").alias("_host"), "marks")
+    found = staged(templates(pages), "templates").select(F.col("host").alias("_host"), "marks", "n")
     hosts, marks = found.agg(F.count("*"), F.sum(F.size("marks"))).first()
     if hosts <= FEW_HOSTS and (marks or 0) <= FEW_MARKS:
         found = F.broadcast(found)
     rows = pages.select("page_id", "url", "html").withColumn("host", host(F.col("url")))
-    rows = rows.join(found, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "host", "marks")
+    rows = rows.join(found, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "host", "marks", "n")
     kind = pages.schema["page_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

@@ -75,3 +75,26 @@ def test_odd_rows(spark):
     got = sorted((r["page_id"] or -1, r["url"] or "", r["text"], r["n_chars"]) for r in html.extract(pages).collect())
     assert got == [(-1, "x", "t", 1), (1, "", "", 0), (2, "http://a", "", 0), (3, "", "a", 1), (3, "", "a", 1)]
     assert html.extract(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+LONG, MORE = "the whole story of a day in town", "and what came of it"
+
+
+@pytest.mark.parametrize("page", ["<div><p>{a}</p><p>{b}</p></div>", "<article><div><p>{a}</p><p>{b}</p></div></article>"])
+@pytest.mark.parametrize("foot", ["", "<div>served as {n}</div>"])
+def test_copies_of_a_page_keep_their_text(spark, page, foot):
+    """Also if a line tells the copies apart, or one menu stands on them and on other pages."""
+    menu = "<div><b>home and so on</b></div>"
+    rows = [(n, "http://a.example/", menu + (page + foot).format(a=LONG, b=MORE, n=n)) for n in range(3)]
+    rows += [(10 + n, "http://a.example/", menu + f"<div><p>text {n} of its own</p></div>") for n in range(5)]
+    found = run(spark, rows)
+    tail = "\nserved as {}" if foot and "article" not in page else ""
+    assert [found[n] for n in range(3)] == [f"{LONG}\n{MORE}" + tail.format(n) for n in range(3)]
+    assert [found[10 + n] for n in range(5)] == [f"text {n} of its own" for n in range(5)]
+
+
+def test_a_quoted_paragraph_stays(spark):
+    """Without article and main too, and whole: three of ten pages hold it."""
+    rows = [(n, "http://a.example/", f"<div><p>text {n} goes on and on</p>" + ("<p>often <b>quoted</b></p>" if n < 3 else "") + "</div>") for n in range(10)]
+    found = run(spark, rows)
+    assert [found[n] for n in range(10)] == [f"text {n} goes on and on" + ("\noften quoted" if n < 3 else "") for n in range(10)]
