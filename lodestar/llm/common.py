@@ -5,7 +5,8 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
-import gc
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,6 +20,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 _SPACES = {c: " " for c in range(0x09, 0x0E)}
 
 _staged: list[tuple[SparkSession, str]] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def words_of(text: str | None) -> list[str]:
@@ -34,12 +36,20 @@ def word_count(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+_own_dir: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a local one (tests on one machine)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of this machine's, if that is all of the cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="lodestar-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and the executors of {master} share")
+        if not _own_dir:
+            _own_dir.append(tempfile.mkdtemp(prefix="lodestar-"))
+            atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
+        found = _own_dir[0]
     return found.rstrip("/")
 
 
@@ -65,13 +75,36 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestar-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_removed(spark):
+        df.write.parquet(path)
     if not _staged:
         atexit.register(_sweep)
     _staged.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Spark removes the shuffle files of what is executed in here as soon as it has ended: staged tables are read instead."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind as it takes to be no column of df, whatever the case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A function over batches that gives its memory back to the system when a task ends: workers live on, and each kind of
     task that they ran would otherwise keep its share."""
@@ -86,12 +119,6 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return wrapped
 
 
-def forget_shuffles(spark: SparkSession) -> None:
-    """Have the driver collect its garbage, which is when Spark removes the shuffle files of tables that nobody holds any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def drop_staged(df: DataFrame) -> None:
     """Remove the staged files that df reads, once nothing needs them."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

@@ -1,19 +1,26 @@
 """MinHash near-duplicate detection with exact links.
 
-A document's set is its distinct runs of five words. Documents with equal sets form a class, and only its least member
-goes on. Each set gets many universal hash minima; runs of a few of them, the bands, are bucket keys. Their length and number
-follow from the similarity asked for (see Scheme): a pair that has it shares no bucket with a probability of MISSED at
-most, (1 - 0.85**6)**42 at 0.85 and (1 - 0.8**5)**50 at 0.8.
+A document's set is its distinct runs of five words, each held as a hash of 64 bits. Documents with equal sets form a
+class, and one row of it goes on as its node. Each set gets many universal hash minima; runs of a few of them, the bands,
+are bucket keys. Their length and number follow from the similarity asked for (see Scheme): a pair that has it shares no
+bucket with a probability of MISSED at most, (1 - 0.85**6)**42 at 0.85 and (1 - 0.8**5)**50 at 0.8.
 
-Buckets never become all their pairs. First each member is compared with its bucket's least member: the signatures are
-compared, then the full sets. Components of these links follow by large-star and small-star. Components that still meet
-in a bucket make a family; its members' full sets are compared in pairs of blocks of bounded size, and only links that
-join components leave a task, fewer than it has members. Links within a component are not looked for, since they change
-nothing. The work of a family grows with the square of its members, its output and memory do not.
+Buckets never become all their pairs:
+
+1. Each member is compared with its bucket's leader: first the signatures, then, if these may do, the full sets.
+   Components of the links follow by large-star and small-star.
+2. A bucket that still holds several components is looked at once more, by itself. Its members are dealt out in groups of
+   two blocks of bounded size; members of its largest component meet only members of others. A group compares signatures
+   and notes for each member its likely partners in other components, one bit each; a pair counts in the first bucket
+   that it shares. Sets are fetched for these members only, and just the links that join components leave a task.
+
+Links within a component are not looked for, since they change nothing. So the work beyond the first step grows with
+the members outside a bucket's largest component; memory and output are bounded whatever a bucket holds.
 
 Defined results: a null or empty text has no shingles and is linked with nothing; fewer than five words are one shingle;
-a row with a null doc_id is linked with nothing, has a null component and is kept; rows that share a doc_id are one node
-and share its links; equal sets are one class; an empty table gives an empty result; other columns are not read.
+a row with a null doc_id is linked with nothing, has a null component and is kept; rows that share a doc_id but not a set
+are documents of their own, each with the component of its own set, and rows that share both share their fate; equal sets
+are one class; an empty table gives an empty result; other columns are not read, and may have any name.
 """
 
 from __future__ import annotations
@@ -30,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import forget_shuffles, in_small_batches, staged, tidy
+from lodestar.llm.common import drop_staged, in_small_batches, staged, tidy, unused
 from lodestar.llm.components import components
 
 SHINGLE = 5
@@ -43,8 +50,8 @@ MISSED = 3e-9
 CHUNK = 4_096
 BLOCK = 256
 KNOWN_WORDS = 150_000
-#: Ids up to which a list of them is broadcast: 16 MB.
-FEW_IDS = 2_000_000
+#: Rows of up to five numbers, or of two and a digest, up to which a table is broadcast: 20 MB.
+FEW_ROWS = 500_000
 
 _rng = np.random.Generator(np.random.PCG64(20))
 _FACTORS = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -118,35 +125,44 @@ def bands(signature: np.ndarray, scheme: Scheme) -> np.ndarray:
     return _mixed((parts * _BAND_FACTORS[: scheme.band]).sum(axis=1) + _BAND_SALTS[: scheme.bands]).view(np.int64)
 
 
-def _texts(batches: Iterable[pa.RecordBatch], size: int = 128) -> Iterator[tuple[list, list]]:
-    """Ids and UTF-8 texts of a few rows at a time."""
+def _texts(batches: Iterable[pa.RecordBatch], size: int = 128) -> Iterator[tuple[list, list, list]]:
+    """Two columns and the UTF-8 texts of a few rows at a time."""
     for batch in batches:
         for at in range(0, batch.num_rows, size):
             part = batch.slice(at, size)
-            yield part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()
+            yield part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist()
 
 
 def signatures(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, bands, sig (the low 16 bits of the minima) of every row."""
+    """doc_id, tag (a hash of the text), n_shingles, digest of the set, bands, sig (the low 16 bits of the minima) of every row."""
 
     def run(batches):
         known = _WordHashes()
-        for ids, texts in _texts(batches):
+        for ids, tags, texts in _texts(batches):
             rows = []
             for text in texts:
                 x = shingles(text, known)
                 low = minima(x, scheme.bands * scheme.band)
-                rows.append((len(x), hashlib.blake2b(x.tobytes(), digest_size=16).digest(), bands(low, scheme), low.astype(np.uint16).tobytes()) if len(x) else (0, None, [], None))
+                rows.append((len(x), _digest(x), bands(low, scheme), low.astype(np.uint16).tobytes()) if len(x) else (0, None, [], None))
             n, digest, band, sig = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "digest", "bands", "sig"])
+            columns = [pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(sig, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "n_shingles", "digest", "bands", "sig"])
+
+    return docs.select("doc_id", F.xxhash64("text").alias("tag"), "text").mapInArrow(tidy(run), "doc_id long, tag long, n_shingles long, digest binary, bands array<long>, sig binary")
+
+
+def _digest(x: np.ndarray) -> bytes:
+    return hashlib.blake2b(x.tobytes(), digest_size=16).digest()
+
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, digest binary, bands array<long>, sig binary")
+def _small(df: DataFrame, most: int) -> DataFrame:
+    """df, to be broadcast if it has few rows: most is a number that it can't exceed, counted beforehand."""
+    return F.broadcast(df) if most <= FEW_ROWS else df
 
 
-def _only(df: DataFrame, column: str, ids: DataFrame, few: bool) -> DataFrame:
-    """The rows of df whose column is among ids (id); few says that ids were counted and may be broadcast."""
-    wanted = ids.select(F.col("id").alias("_among"))
-    return df.join(F.broadcast(wanted) if few else wanted, F.col(column) == F.col("_among"), "left_semi")
+def _only(df: DataFrame, column: str, ids: DataFrame, most: int) -> DataFrame:
+    """The rows of df whose column is among ids (id), of which there are most or fewer."""
+    return df.join(_small(ids.select(F.col("id").alias("among")), most), F.col(column) == F.col("among"), "left_semi")
 
 
 def _agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -159,149 +175,185 @@ def _common(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """(node, items): the full sets of the classes (node, rep, digest) that are among ids (id), most or fewer, from the texts themselves."""
+
     def run(batches):
         known = _WordHashes()
-        for ids, texts in _texts(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([shingles(t, known).tobytes() for t in texts], pa.binary())], names=["node", "items"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "node long, items binary")
-
-
-def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """(u, v): the pairs whose signatures may be, and whose full sets are, similar enough."""
-    pairs = staged(pairs, "pairs")
-    ids = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
-    few = ids.count() <= FEW_IDS
-    sigs = _only(reps.select("doc_id", "sig"), "doc_id", ids, few)
-    left, right = (sigs.select(F.col("doc_id").alias(f"id_{c}"), F.col("sig").alias(f"sig_{c}")) for c in "uv")
-    likely = pairs.join(left, F.col("u") == F.col("id_u")).join(right, F.col("v") == F.col("id_v"))
-    likely = staged(likely.where(F.pandas_udf(_agreeing, "int")("sig_u", "sig_v") >= scheme.least_agreeing).select("u", "v").distinct(), "likely")
-    ids = likely.select(F.col("u").alias("id")).union(likely.select(F.col("v").alias("id"))).distinct()
-    sets = staged(_sets(_only(docs, "doc_id", ids, ids.count() <= FEW_IDS)), "sets")
-    left, right = (sets.select(F.col("node").alias(f"id_{c}"), F.col("items").alias(f"set_{c}")) for c in "uv")
+        for nodes, digests, texts in _texts(batches):
+            found = [(n, x.tobytes()) for n, d, x in zip(nodes, digests, (shingles(t, known) for t in texts), strict=True) if _digest(x) == d]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["node", "items"])
+
+    wanted = _only(classes.select("node", "rep", "digest"), "node", ids.distinct(), most)
+    rows = docs.join(_small(wanted, most), F.col("doc_id") == F.col("rep"))
+    made = rows.select("node", "digest", "text").mapInArrow(tidy(run), "node long, items binary")
+    return staged(made.dropDuplicates(["node"]), "sets")  # a row may be repeated
+
+
+def _links_to_leaders(star: DataFrame, classes: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
+    """(u, v): the pairs (leader, member) of star whose signatures may be, and whose full sets are, similar enough."""
+    sides = lambda df, value: [df.select(F.col("node").alias(f"id_{c}"), F.col(value).alias(f"{value}_{c}")) for c in "uv"]
+    left, right = sides(classes, "sig")
+    both = star.join(left, F.col("u") == F.col("id_u")).join(right, F.col("v") == F.col("id_v"))
+    likely = staged(both.where(F.pandas_udf(_agreeing, "int")("sig_u", "sig_v") >= scheme.least_agreeing).select("u", "v"), "likely")
+    ids = likely.select(F.col("u").alias("id")).union(likely.select(F.col("v").alias("id")))
+    left, right = sides(_sets(docs, classes, ids, 2 * likely.count()), "items")
     both = likely.join(left, F.col("u") == F.col("id_u")).join(right, F.col("v") == F.col("id_v"))
-    both = both.withColumn("both", F.pandas_udf(_common, "int")("set_u", "set_v"))
-    union = F.octet_length("set_u") / 8 + F.octet_length("set_v") / 8 - F.col("both")
-    return both.where(100 * F.col("both") >= scheme.percent * union).select("u", "v").distinct()
+    both = both.withColumn("both", F.pandas_udf(_common, "int")("items_u", "items_v"))
+    union = F.octet_length("items_u") / 8 + F.octet_length("items_v") / 8 - F.col("both")
+    return staged(both.where(100 * F.col("both") >= scheme.percent * union).select("u", "v"), "links")
+
+
+def _groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows that follow each other with equal first columns: these, and the rest of each row."""
+    key, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:keys] != key:
+                if len(rows) > 1:
+                    yield key, rows
+                key, rows = row[:keys], []
+            rows.append(row[keys:])
+    if len(rows) > 1:
+        yield key, rows
 
 
-def _links_in(rows: list[tuple], same_block: bool, percent: int) -> tuple[list[int], list[int]]:
-    """Links that join components, of rows (block, component, member, set): spanning links only, exact on full sets.
+def _likely_in(band: int, apart: bool, rows: list[tuple], scheme: Scheme) -> list[tuple[int, int, bytes]]:
+    """(place, component, partners) and so on of the members that have likely partners in other components.
 
-    A row's shingles are marked once, and counted in all later rows at a time.
+    rows are (block, component, member, sig); apart: pairs of one block are compared in another group. partners has a bit
+    for each place among the members returned. Only pairs whose first shared band is this one count.
     """
+    sigs = np.stack([np.frombuffer(r[3], np.uint16) for r in rows])
+    block, component = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    pairs = []
+    for k in range(len(rows) - 1):
+        later = k + 1 + np.flatnonzero((component[k + 1 :] != component[k]) & ((block[k + 1 :] != block[k]) | (not apart)))
+        if len(later):
+            same = sigs[later] == sigs[k]
+            fine = np.flatnonzero(same.sum(axis=1) >= scheme.least_agreeing)
+            shared = same[fine].reshape(len(fine), scheme.bands, scheme.band).all(axis=2)
+            pairs += [(k, at) for at in later[fine[shared.argmax(axis=1) == band]].tolist()]
+    places = {k: n for n, k in enumerate(sorted({k for pair in pairs for k in pair}))}
+    bits = np.zeros((len(places), len(places)), bool)
+    for a, b in pairs:
+        bits[places[a], places[b]] = True
+    return [(n, int(component[k]), rows[k][2], np.packbits(bits[n]).tobytes()) for k, n in places.items()]
+
+
+def _links_in(rows: list[tuple], percent: int) -> tuple[list[int], list[int]]:
+    """Links that join components, of rows (component, member, partners, set) by place: spanning links only, exact on full sets."""
     sets = [np.frombuffer(r[3], np.uint64) for r in rows]
-    sizes = np.array([len(x) for x in sets])
-    _, numbers = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.r_[0, np.cumsum(sizes)[:-1]]
-    block, member = np.array([r[0] for r in rows]), np.array([r[2] for r in rows])
-    _, root = np.unique([r[1] for r in rows], return_inverse=True)
-    marked = np.zeros(numbers.max() + 1, np.int64)
+    _, root = np.unique([r[0] for r in rows], return_inverse=True)
     u, v = [], []
-    for k in range(len(rows) - 1):
-        later = np.flatnonzero((root != root[k]) & ((block != block[k]) | same_block))
-        if not len(later := later[later > k]):
-            continue
-        own = numbers[starts[k] : starts[k] + sizes[k]]
-        marked[own] = 1
-        both = np.add.reduceat(marked[numbers[starts[k + 1] :]], starts[k + 1 :] - starts[k + 1])[later - k - 1]
-        marked[own] = 0
-        for at in later[100 * both >= percent * (sizes[k] + sizes[later] - both)]:
-            if root[at] != root[k]:
-                u.append(int(min(member[k], member[at])))
-                v.append(int(max(member[k], member[at])))
+    for k, row in enumerate(rows):
+        for at in np.flatnonzero(np.unpackbits(np.frombuffer(row[2], np.uint8), count=len(rows))).tolist():
+            a, b = sets[k], sets[at]
+            if root[k] == root[at] or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+                continue
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            if 100 * both >= percent * (len(a) + len(b) - both):
+                u.append(row[1])
+                v.append(rows[at][1])
                 root[root == root[at]] = root[k]
     return u, v
 
 
-def _links_in_families(members: DataFrame, percent: int) -> DataFrame:
-    """(u, v): links between components of one family, enough to join all that are linked.
+def _late_links(members: DataFrame, n_members: int, known: DataFrame, n_known: int, classes: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
+    """(u, v): links between the components (id, component) that a bucket of members (bucket, band, member) still holds.
 
-    members has family, size (its members), member, component and items. A family is cut into blocks, and each pair of
-    blocks is a group of its own, of 2 * BLOCK members at most; only links leave it, fewer than it has members.
+    n_members and n_known are numbers of rows that these tables don't exceed.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("member"), blocks).cast("int")
-    dealt = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("family", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "component", "member", "items")
-
-    def run(batches):
-        key, rows = None, []
-        for b in batches:
-            for family, i, j, *row in zip(*(b.column(c).to_pylist() for c in dealt_columns), strict=True):
-                if (family, i, j) != key:
-                    if len(rows) > 1:
-                        yield made(key, rows)
-                    key, rows = (family, i, j), []
-                rows.append(row)
-        if len(rows) > 1:
-            yield made(key, rows)
-
-    def made(key, rows):
-        u, v = _links_in(rows, key[1] == key[2], percent)
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-    dealt_columns = dealt.columns
-    together = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
-    return together.mapInArrow(tidy(run), "u long, v long").distinct()
-
-
-def _late_links(named: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """(u, v): links between the components that a bucket still holds. named has bucket, member, component.
-
-    Components that meet in a bucket are one family, and so are those that meet over others.
-    """
-    split = named.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select(F.col("bucket").alias("key"), "least")
-    mixed = staged(named.join(split, F.col("bucket") == F.col("key")).select("member", "component", "least").distinct(), "mixed")
-    families = components(mixed.select(F.col("least").alias("u"), F.col("component").alias("v")))
-    families = families.select(F.col("id").alias("part"), F.col("component").alias("family"))
-    members = mixed.select("member", "component").distinct().join(families, F.col("component") == F.col("part")).select("member", "component", "family")
-    sizes = members.groupBy("family").agg(F.count("*").alias("size")).select(F.col("family").alias("f"), "size")
-    members = staged(members.join(sizes, F.col("family") == F.col("f")).drop("f"), "families")
-    ids = members.select(F.col("member").alias("id"))
-    sets = _sets(_only(docs, "doc_id", ids, ids.count() <= FEW_IDS))
-    return _links_in_families(members.join(sets, F.col("member") == F.col("node")).select("family", "size", "member", "component", "items"), percent)
-
-
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of docs; sets of a similarity of percent hundredths or more are linked."""
+    named = members.join(_small(known, n_known), F.col("member") == F.col("id"), "left").select("bucket", "band", "member", F.coalesce("component", "member").alias("component"))
+    named = staged(named, "named")
+    parts = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy(F.col("bucket").alias("key")).agg(F.max_by("component", "n").alias("main"), F.max("n").alias("most"), F.sum("n").alias("size")).where("most < size")
+    rows = named.join(_small(mixed, n_members // 2), F.col("bucket") == F.col("key"))
+    # blocks of the other components come first, then those of the largest; a small bucket is one block
+    small = F.col("size") <= 2 * BLOCK
+    others = F.when(small, 1).otherwise(F.ceil((F.col("size") - F.col("most")) / BLOCK)).cast("int")
+    mains = F.when(small, 0).otherwise(F.ceil(F.col("most") / BLOCK)).cast("int")
+    draw = F.xxhash64("member")
+    is_main = ~small & (F.col("component") == F.col("main"))
+    mine = F.when(is_main, others + F.pmod(draw, mains)).otherwise(F.pmod(draw, others)).cast("int")
+    met = F.sequence(F.lit(0), F.when(is_main, others).otherwise(others + mains) - 1)
+    rows = rows.withColumn("mine", mine).withColumn("met", F.explode(met))
+    rows = rows.select("bucket", F.least("mine", "met").alias("i"), F.greatest("mine", "met").alias("j"), "band", "mine", "component", "member")
+    signed = rows.join(classes.select("node", "sig"), F.col("member") == F.col("node")).drop("node")
+
+    def likely(batches):
+        for (bucket, i, j, band), group in _groups(batches, 4):
+            found = _likely_in(band, i != j, group, scheme)
+            if found:
+                place, component, member, partners = zip(*found, strict=True)
+                n = len(found)
+                columns = [pa.array([x] * n, t) for x, t in ((bucket, pa.int64()), (i, pa.int32()), (j, pa.int32()))]
+                columns += [pa.array(place, pa.int32()), pa.array(component, pa.int64()), pa.array(member, pa.int64()), pa.array(partners, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "i", "j", "place", "component", "member", "partners"])
+
+    dealt = signed.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    near = staged(dealt.mapInArrow(tidy(likely), "bucket long, i int, j int, place int, component long, member long, partners binary"), "near")
+    drop_staged(named)
+    sets = _sets(docs, classes, near.select(F.col("member").alias("id")), near.count())
+    full = near.join(sets, F.col("member") == F.col("node")).select("bucket", "i", "j", "place", "component", "member", "partners", "items")
+
+    def links(batches):
+        for _, group in _groups(batches, 3):
+            u, v = _links_in([row[1:] for row in group], scheme.percent)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    dealt = full.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "place")
+    return staged(dealt.mapInArrow(tidy(links), "u long, v long"), "links")
+
+
+def _judged(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, tag, n_shingles, component_id, kept of every row of docs."""
     scheme = Scheme.of(percent)
-    docs = in_small_batches(docs).select("doc_id", "text")
+    docs = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = staged(signatures(docs, scheme), "signatures")
-    in_play = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = staged(in_play.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    firsts = classes.select(F.col("rep").alias("doc_id"), "digest")
-    reps = staged(in_play.join(firsts, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"]).select("doc_id", "bands", "sig"), "reps")
-
-    banded = reps.select(F.col("doc_id").alias("member"), F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("member").alias("leader"), F.max("member").alias("last"))
-    shared = shared.where("leader < last").select(F.col("bucket").alias("key"), "leader")
-    members = staged(banded.join(shared, F.col("bucket") == F.col("key")).select("bucket", "member", "leader"), "members")
-
-    forget_shuffles(docs.sparkSession)
+    in_play = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    classes = signed.where(in_play).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # written, so a node's number stays
+
+    banded = classes.select(F.col("node").alias("member"), F.posexplode("bands").alias("band", "bucket"))
+    shared = banded.groupBy("bucket").agg(F.min("member").alias("leader"), F.max("member").alias("last")).where("leader < last").select(F.col("bucket").alias("key"), "leader")
+    members = staged(banded.join(shared, F.col("bucket") == F.col("key")).select("bucket", "band", "member", "leader"), "members")
+    n_members = members.count()
+    met = staged(_only(classes.select("node", "rep", "digest", "sig"), "node", members.select(F.col("member").alias("id")).distinct(), n_members // 2), "met")
     star = members.where("member <> leader").select(F.col("leader").alias("u"), F.col("member").alias("v")).distinct()
-    links = staged(confirmed(star, reps, docs, scheme), "links")
-    known = components(links)
+    links = _links_to_leaders(star, met, docs, scheme)
+    most = 2 * links.count()
+    known = components(links, most)
+    late = _late_links(members, n_members, known, most, met, docs, scheme)
+    if n_late := late.count():
+        stars = known.where("id <> component").select(F.col("component").alias("u"), F.col("id").alias("v"))
+        most += 2 * n_late
+        known = components(staged(stars.union(late), "edges"), most)
+    drop_staged(members)
+
+    named = classes.select("node", "rep", "digest", "size").join(_small(known, most), F.col("node") == F.col("id"), "left")
+    least = named.where("component IS NOT NULL").groupBy(F.col("component").alias("part")).agg(F.min("rep").alias("least"))
+    named = named.where("component IS NOT NULL OR size > 1").join(_small(least, most), F.col("component") == F.col("part"), "left")
+    found = staged(named.select(F.col("digest").alias("set"), F.coalesce("least", "rep").alias("found")), "found")  # other sets are their document's alone
+
+    rows = signed.select("doc_id", "tag", "n_shingles", "digest")
+    alone = rows.where(~in_play | in_play.isNull()).withColumn("component_id", F.col("doc_id"))
+    rest = rows.where(in_play).join(found, F.col("digest") == F.col("set"), "left").withColumn("component_id", F.coalesce("found", "doc_id"))
+    columns = ["doc_id", "tag", "n_shingles", "component_id"]
+    return alone.select(*columns).union(rest.select(*columns)).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
-    named = members.join(known, F.col("member") == F.col("id"), "left").select("bucket", "member", F.coalesce("component", "member").alias("component"))
-    more = staged(_late_links(staged(named, "named"), docs, percent), "links")
-    if not more.isEmpty():
-        known = components(links.union(more))
 
-    forget_shuffles(docs.sparkSession)
-    found = classes.join(known, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("found"))
-    rows = signed.select("doc_id", "n_shingles", "digest").join(found, "digest", "left")
-    # rows that share a doc_id but not a set are one node: each finds the component of its own class, which they share through that node
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of docs; sets of a similarity of percent hundredths or more are linked."""
+    return _judged(docs, percent).drop("tag")
 
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that near_duplicates keeps, in the columns of docs. Rows with a null doc_id stay."""
-    gone = near_duplicates(docs, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = staged(gone, "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= FEW_IDS else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone_id, gone_tag = unused(docs, "gone_id", "gone_tag")
+    gone = staged(_judged(docs, percent).where("NOT kept").select(F.col("doc_id").alias(gone_id), F.col("tag").alias(gone_tag)).distinct(), "gone")
+    same = (F.col("doc_id").cast("long") == F.col(gone_id)) & (F.xxhash64("text") == F.col(gone_tag))
+    return docs.join(_small(gone, gone.count()), same, "left_anti")
 
 
 SQL = """

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import drop_staged, forget_shuffles, in_small_batches, staged, tidy
+from lodestar.llm.common import drop_staged, in_small_batches, staged, tidy, unused
 
 WINDOW = 50
 PHRASE = 8
@@ -205,12 +205,10 @@ def repeated(docs: DataFrame) -> DataFrame:
     recurring = held.groupBy("phrase").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select(F.col("phrase").alias("p"))
     shards = staged(held.join(recurring, F.col("phrase") == F.col("p")).select("phrase", F.col("bundle").alias("shard")).distinct(), "shards")
     drop_staged(held)
-    forget_shuffles(docs.sparkSession)
 
     windows = firsts.select("doc_id", "tag", "text", "bundle").groupBy("bundle").cogroup(shards.groupBy("shard")).applyInArrow(_candidates, _CANDIDATE)
     windows = staged(windows, "windows")
     drop_staged(shards)
-    forget_shuffles(docs.sparkSession)
     holders = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     holders = holders.select(F.col("h1").alias("a"), F.col("h2").alias("b"), "least")
     lost = windows.join(holders, (F.col("h1") == F.col("a")) & (F.col("h2") == F.col("b"))).where("doc_id > least")
@@ -231,12 +229,14 @@ def _kept(words: list[bytes], copy: bool | None, bounds: list[int] | None) -> li
     return out + words[last:]
 
 
-def _with_spans(docs: DataFrame) -> DataFrame:
-    """docs with _copy and _bounds."""
-    spans = repeated(docs).select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"), F.col("copy").alias("_copy"), F.col("bounds").alias("_bounds"))
-    rows, bounds = spans.agg(F.count("*"), F.sum(F.size("_bounds"))).first()
-    few = rows <= FEW_ROWS and (bounds or 0) <= FEW_BOUNDS
-    return docs.join(F.broadcast(spans) if few else spans, (F.col("doc_id") == F.col("_doc")) & (F.hash("text") == F.col("_tag")), "left").drop("_doc", "_tag")
+def _with_spans(docs: DataFrame, copy: str, bounds: str) -> DataFrame:
+    """docs with what repeated() tells of each row under the names copy and bounds, which docs doesn't have."""
+    doc, tag = unused(docs, "doc", "tag")
+    spans = repeated(docs)
+    rows, n = spans.agg(F.count("*"), F.sum(F.size("bounds"))).first()
+    spans = spans.select(F.col("doc_id").alias(doc), F.col("tag").alias(tag), F.col("copy").alias(copy), F.col("bounds").alias(bounds))
+    few = rows <= FEW_ROWS and (n or 0) <= FEW_BOUNDS
+    return docs.join(F.broadcast(spans) if few else spans, (F.col("doc_id") == F.col(doc)) & (F.hash("text") == F.col(tag)), "left").select(*docs.columns, copy, bounds)
 
 
 def removed(docs: DataFrame) -> DataFrame:
@@ -245,7 +245,7 @@ def removed(docs: DataFrame) -> DataFrame:
     def run(batches):
         for part in _rows(batches):
             n, lost, sha = [], [], []
-            for text, copy, bounds in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("_copy").to_pylist(), part.column("_bounds").to_pylist(), strict=True):
+            for text, copy, bounds in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("copy").to_pylist(), part.column("bounds").to_pylist(), strict=True):
                 words = _words(text)
                 kept = _kept(words, copy, bounds)
                 n.append(len(words))
@@ -253,7 +253,7 @@ def removed(docs: DataFrame) -> DataFrame:
                 sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(sha)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(tidy(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "copy", "bounds").mapInArrow(tidy(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -267,13 +267,14 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             out.append(t if len(kept) == len(words) else b" ".join(kept).decode() or None)
         return pd.Series(out, dtype=object)
 
-    touched = F.col("_copy").isNotNull()
-    rows = _with_spans(docs)
-    rows = rows.withColumn("_text", F.when(touched, F.pandas_udf(cut, "string")("text", "_copy", "_bounds")).otherwise(F.col("text")))
-    rows = rows.where(~touched | F.col("_text").isNotNull())
+    copy, bounds, kept = unused(docs, "copy", "bounds", "kept")
+    touched = F.col(copy).isNotNull()
+    rows = _with_spans(docs, copy, bounds)
+    rows = rows.withColumn(kept, F.when(touched, F.pandas_udf(cut, "string")("text", copy, bounds)).otherwise(F.col("text")))
+    rows = rows.where(~touched | F.col(kept).isNotNull())
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(touched, F.length("_text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.withColumn("text", F.col("_text")).select(*docs.columns)
+        rows = rows.withColumn("n_chars", F.when(touched, F.length(kept).cast("long")).otherwise(F.col("n_chars")))
+    return rows.withColumn("text", F.col(kept)).select(*docs.columns)
 
 
 SQL = """

@@ -60,9 +60,10 @@ def corpus(seed, n=120):
     return [(i, rng.choice([" ", "  ", "\n"]).join(t).upper() if rng.random() < 0.1 else " ".join(t)) for i, t in zip(ids, out, strict=True)]
 
 
-@pytest.mark.parametrize("seed,block", [(1, 256), (2, 4), (3, 256)])
-def test_near_duplicates_against_brute_force(spark, seed, block, monkeypatch):
+@pytest.mark.parametrize("seed,block,few", [(1, 256, 500_000), (2, 2, 500_000), (3, 256, 0)])
+def test_near_duplicates_against_brute_force(spark, seed, block, few, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "FEW_ROWS", few)
     rows = corpus(seed)
     found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(table(spark, rows)).collect()}
     assert found == brute_groups(rows)
@@ -95,6 +96,26 @@ def test_near_duplicates_odd_rows(spark):
     assert neardup.near_duplicates(empty).collect() == [] and neardup.deduplicated(empty).collect() == []
 
 
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    t, z = "t a b c d e", "z f g h i j"
+    rows = [(3, t), (5, t), (5, z), (8, z), (5, z), (2, "k l m n o p"), (2, "q r s t u v"), (9, "q r s t u v")]
+    found = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(table(spark, rows)).collect())
+    assert found == sorted([(3, 3, True), (5, 3, False), (5, 5, True), (8, 5, False), (5, 5, True), (2, 2, True), (2, 2, True), (9, 2, False)])
+    kept = sorted((r["doc_id"], r["text"]) for r in neardup.deduplicated(table(spark, rows)).collect())
+    assert kept == sorted([(3, t), (5, z), (5, z), (2, "k l m n o p"), (2, "q r s t u v")])
+
+
+@pytest.mark.parametrize("name", ["GONE_ID", "gone_tag", "digest", "tag", "Kept", "bounds"])
+def test_clashing_names(spark, name):
+    p = " ".join(f"p{k}" for k in range(55))
+    own = " ".join(f"q{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, p, "x"), (2, p, "y"), (3, own + " " + p, "z")], f"doc_id long, text string, `{name}` string")
+    kept = neardup.deduplicated(docs)
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == [(1, p, "x"), (3, own + " " + p, "z")]
+    kept = substring.deduplicated(docs)
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == [(1, p, "x"), (3, own, "z")]
+
+
 def test_null_ids_are_not_linked(spark):
     assert [tuple(r) for r in neardup.near_duplicates(table(spark, [(None, "a b c d e f"), (5, "a b c d e f")])).orderBy("doc_id").collect()] == [(None, 2, None, True), (5, 2, 5, True)]
 
