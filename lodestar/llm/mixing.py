@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import WORD, staged
+from lodestar.llm.common import WORD, staged, unused
 
 #: A source is taken this many times at most.
 MAX_EPOCHS = 3
@@ -99,16 +99,18 @@ def materialise(docs: DataFrame, seed: str = "mix") -> DataFrame:
     Documents without words take no part. doc_id and source must name rows: rows that share both share their fate, the
     first of them by size.
     """
-    plan = _mixed(docs, seed).where("_taken > 0").groupBy("_doc", "_source").agg(F.min_by("_size", "_size").alias("_size"), F.min_by("_taken", "_size").alias("_taken"))
-    skey = F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), F.col("source").cast("string")))
-    both = docs.withColumn("_skey", skey).join(plan, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_skey") == F.col("_source")))
-    part = F.col("_taken") % F.col("_size")
-    times = F.sequence(F.lit(0), F.ceil(F.col("_taken") / F.col("_size")).cast("int") - 1)
-    both = both.withColumn("_time", F.explode(times)).withColumn("_cut", (F.col("_time") == F.floor(F.col("_taken") / F.col("_size"))) & (part > 0))
+    doc, source, size, taken, time = unused(docs, "doc", "key", "size", "taken", "time")
+    plan = _mixed(docs, seed).where("_taken > 0").groupBy("_doc", "_source").agg(F.min("_size").alias("_size"), F.min_by("_taken", "_size").alias("_taken"))
+    plan = plan.select(F.col("_doc").alias(doc), F.col("_source").alias(source), F.col("_size").alias(size), F.col("_taken").alias(taken))
+    key = F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), F.col("source").cast("string")))
+    both = docs.join(plan, F.col("doc_id").eqNullSafe(F.col(doc)) & (key == F.col(source)))
+    part = F.col(taken) % F.col(size)
+    both = both.withColumn(time, F.explode(F.sequence(F.lit(0), F.ceil(F.col(taken) / F.col(size)).cast("int") - 1)))
+    cut = (F.col(time) == F.floor(F.col(taken) / F.col(size))) & (part > 0)
     first = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), F.lit(1), part.cast("int")), " ")
-    both = both.withColumn("text", F.when(F.col("_cut"), first).otherwise(F.col("text")))
+    both = both.withColumn("text", F.when(cut, first).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        both = both.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return both.select(*docs.columns)
 
 
