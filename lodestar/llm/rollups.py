@@ -4,12 +4,14 @@ A change is an insert, a delete or a revised count of one document under one tok
 summed into signed deltas per source, language and tokenizer, written to a folder of its own and committed by one rename.
 Totals are the sums of all committed batches; since they add up, the order of batches doesn't matter. A batch whose id is
 committed already is not applied again, so a retry, or a second writer of the same batch, changes nothing; a batch that
-was lost on the way leaves nothing that is read. fold() replaces committed batches by their sum.
+was lost on the way leaves nothing that is read. fold() replaces committed batches by their sum; the folders that it lists
+at its start are what it sums, records and deletes, so a batch that is committed meanwhile stays a folder of its own.
 
 Defined results: null sources and languages are groups of their own; a null count is 0; an unknown kind of change is an
 error; a change without a row to its delete still counts (the sums are additive, not checked against documents); groups
 whose documents and tokens are both 0 are left out; an empty batch is committed and changes nothing; repeated changes in
-one batch count each time; other columns are not read.
+one batch count each time; other columns are not read. For changes_between, nulls in source, language and tokenizer are
+equal to each other; a null doc_id names no document, so such a row is deleted if it is old and inserted if it is new.
 """
 
 from __future__ import annotations
@@ -17,8 +19,13 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from collections.abc import Callable
+from functools import reduce
+from typing import TypeVar
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import WORD, shared_dir, staged, word_count
@@ -26,6 +33,11 @@ from lodestar.llm.common import WORD, shared_dir, staged, word_count
 KEYS = ("source", "lang", "tokenizer")
 DELTA = "source string, lang string, tokenizer string, docs long, tokens long"
 INSERT, DELETE, REVISE = "insert", "delete", "revise"
+#: Times that a reading is begun anew because a fold removed what it had listed.
+READS = 5
+#: What errors say of a file that is not there any more.
+GONE = re.compile(r"FileNotFound|FILE_NOT_EXIST|PATH_NOT_FOUND|does not exist")
+T = TypeVar("T")
 
 
 def deltas(changes: DataFrame) -> DataFrame:
@@ -42,17 +54,22 @@ def changes_between(old: DataFrame, new: DataFrame) -> DataFrame:
     """The changes that make old counts (doc_id, source, lang, tokenizer, tokens) the new ones.
 
     A document that moves to another source or language is deleted from the one and inserted into the other. doc_id and
-    tokenizer name a row; where they don't, rows pair up with all of theirs.
+    tokenizer name a row; rows that share them are told apart by their number among these, in order of their tokens.
     """
-    side = lambda df, p: df.select(F.col("doc_id").alias(f"{p}_id"), *[F.col(c).alias(f"{p}_{c}") for c in (*KEYS, "tokens")])
-    same = F.col("a_id") == F.col("b_id")
-    for c in KEYS:
-        same = same & F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
-    both = side(old, "a").join(side(new, "b"), same, "full_outer")
-    pick = lambda c: F.when(F.col("b_id").isNull(), F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(c)
-    kind = F.when(F.col("a_id").isNull(), INSERT).when(F.col("b_id").isNull(), DELETE).otherwise(REVISE)
+    names = ("doc_id", *KEYS)
+    number = F.row_number().over(Window.partitionBy(*names).orderBy("tokens"))
+    side = lambda df, p: df.withColumn("n", number).select(F.lit(True).alias(f"{p}_here"), *[F.col(c).alias(f"{p}_{c}") for c in (*names, "n", "tokens")])
+    same = reduce(lambda x, y: x & y, [F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")) for c in (*KEYS, "n")], F.col("a_doc_id") == F.col("b_doc_id"))
+    named = lambda df: df.select(*names, "tokens").where("doc_id IS NOT NULL")
+    both = side(named(old), "a").join(side(named(new), "b"), same, "full_outer")
+    pick = lambda c: F.when(F.col("b_here").isNull(), F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(c)
+    kind = F.when(F.col("a_here").isNull(), INSERT).when(F.col("b_here").isNull(), DELETE).otherwise(REVISE)
     rows = both.select(kind.alias("kind"), *[pick(c) for c in (*KEYS, "tokens")], F.col("a_tokens").alias("old_tokens"))
-    return rows.where((F.col("kind") != REVISE) | ~F.col("tokens").eqNullSafe(F.col("old_tokens")))
+    rows = rows.where((F.col("kind") != REVISE) | ~F.col("tokens").eqNullSafe(F.col("old_tokens")))
+    none = F.lit(None).cast("long")
+    for df, kind in ((old, DELETE), (new, INSERT)):
+        rows = rows.union(df.where("doc_id IS NULL").select(F.lit(kind), *KEYS, F.col("tokens").cast("long"), none))
+    return rows
 
 
 class Rollup:
@@ -76,9 +93,26 @@ class Rollup:
 
     def batches(self) -> list[str]:
         """The ids of all committed batches, folded ones included."""
-        found = self._folders()
-        folded = [b for name in found if name.startswith("fold=") for b in self._members(name)]
-        return sorted({*folded, *(name for name in found if not name.startswith("fold="))})
+        names = self._settled(self._everything)
+        return sorted(n for n in names if not n.startswith("fold="))
+
+    def _everything(self) -> set[str]:
+        names = self._folders()
+        return {*names, *self._folded(names)}
+
+    def _folded(self, names: list[str]) -> set[str]:
+        """What the folds among names hold: batches and older folds."""
+        return {b for name in names if name.startswith("fold=") for b in self._members(name)}
+
+    def _settled(self, read: Callable[[], T]) -> T:
+        """What a reading gives that no fold has taken a folder away from meanwhile."""
+        for _ in range(READS):
+            try:
+                return read()
+            except (Py4JJavaError, PySparkException) as error:
+                if not GONE.search(str(error)):
+                    raise
+        raise RuntimeError(f"{self.path} is folded faster than it can be read")
 
     def _members(self, name: str) -> list[str]:
         at = self._path(f"{self.path}/batches/{name}/_members")
@@ -94,7 +128,7 @@ class Rollup:
         if batch in self.batches():
             return False
         draft = f"{self.path}/lost/{batch}-{uuid.uuid4().hex}"
-        deltas(changes).coalesce(1).write.parquet(draft)
+        deltas(changes).write.parquet(draft)
         return self._commit(draft, place)
 
     def _commit(self, draft: str, place: str) -> bool:
@@ -112,31 +146,50 @@ class Rollup:
         places = [f"{self.path}/batches/{name}" for name in names]
         return self.spark.read.schema(DELTA).parquet(*places) if places else self.spark.createDataFrame([], DELTA)
 
+    def _listed(self) -> tuple[list[str], list[str]]:
+        """All folders, and those whose sum is the totals: the ones that no fold holds."""
+        names = self._folders()
+        folded = self._folded(names)
+        return names, [n for n in names if n not in folded]
+
+    def _sums(self, names: list[str]) -> DataFrame:
+        sums = self._read(names).groupBy(*KEYS).agg(F.sum("docs").cast("long").alias("docs"), F.sum("tokens").cast("long").alias("tokens"))
+        return sums.where("docs <> 0 OR tokens <> 0")
+
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens: the sums of all committed batches, those that a fold holds once."""
-        names = self._folders()
-        folded = {b for name in names if name.startswith("fold=") for b in (name, *self._members(name))} - {n for n in names[-1:] if n.startswith("fold=")}
-        newest = [n for n in names if n.startswith("fold=")][-1:]
-        rows = self._read([n for n in names if n in newest or (n not in folded and not n.startswith("fold="))])
-        sums = rows.groupBy(*KEYS).agg(F.sum("docs").cast("long").alias("n_docs"), F.sum("tokens").cast("long").alias("n_tokens"))
-        return sums.where("n_docs <> 0 OR n_tokens <> 0")
-
-    def fold(self) -> None:
-        """Replace all committed batches by one that holds their sum and their ids. Readers see the one or the other."""
-        names = self._folders()
-        members = self.batches()
+        sums = self._settled(lambda: staged(self._sums(self._listed()[1]), "totals"))
+        return sums.withColumnsRenamed({"docs": "n_docs", "tokens": "n_tokens"})
+
+    def fold(self) -> bool:
+        """Replace the committed batches of this moment by one folder that holds their sum and their ids; whether it did.
+
+        Readers see the one or the other. Of two folds at once, the first to be committed counts, and the other one's draft goes.
+        """
+        names, current = self._settled(self._listed)
         if len(names) < 2:
-            return
+            return False
         number = 1 + max([int(n.removeprefix("fold=")) for n in names if n.startswith("fold=")], default=0)
         draft = f"{self.path}/lost/fold-{uuid.uuid4().hex}"
-        sums = self.totals().select(*KEYS, F.col("n_docs").alias("docs"), F.col("n_tokens").alias("tokens"))
-        sums.coalesce(1).write.parquet(draft)
+        try:
+            members = sorted({*names, *self._folded(names)})
+            self._sums(current).write.parquet(draft)
+        except (Py4JJavaError, PySparkException) as error:
+            if not GONE.search(str(error)):
+                raise
+            return False  # another fold was first
         out = self._fs.create(self._path(f"{draft}/_members"))
         out.write(bytearray(json.dumps(members).encode()))
         out.close()
-        if self._commit(draft, f"{self.path}/batches/fold={number:09d}"):
-            for name in names:
-                self._fs.delete(self._path(f"{self.path}/batches/{name}"), True)
+        if not self._commit(draft, f"{self.path}/batches/fold={number:09d}"):
+            return False
+        for name in names:
+            self._fs.delete(self._path(f"{self.path}/batches/{name}"), True)
+        return True
+
+
+#: Texts with copies up to which their table is broadcast: 20 MB.
+FEW_TEXTS = 300_000
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -149,8 +202,11 @@ def counted(docs: DataFrame) -> DataFrame:
     fours = lambda n: F.ceil(n / 4).cast("long")
     rows = docs.select("doc_id", "source", "lang", word_count(text).alias("words"), fours(F.length(text)).alias("guess"), fours(F.octet_length(text)).alias("quarters"), F.md5(text).alias("whole"))
     rows = staged(rows, "counts")
-    least = rows.groupBy("whole").agg(F.min("doc_id").alias("least")).withColumnRenamed("whole", "w")
-    return rows.join(least, F.col("whole") == F.col("w")).withColumn("copy", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False))).drop("whole", "w", "least")
+    least = rows.groupBy("whole").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select(F.col("whole").alias("w"), "least")
+    least = staged(least, "least")  # texts with copies only
+    few = least.count() <= FEW_TEXTS
+    rows = rows.join(F.broadcast(least) if few else least, F.col("whole") == F.col("w"), "left")
+    return rows.withColumn("copy", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False))).drop("whole", "w", "least", "most")
 
 
 def corpus_totals(docs: DataFrame) -> DataFrame:

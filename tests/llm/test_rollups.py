@@ -62,6 +62,75 @@ def test_a_fold_that_died_before_it_cleaned_up(spark, tmp_path):
     assert totals(rollups.Rollup(spark, str(tmp_path / "r"))) == {("a", "en", "v1"): (2, 7)}
 
 
+@pytest.mark.parametrize("point", ["_folders", "_folded", "_sums", "_commit", "delete"])
+@pytest.mark.parametrize("after", [False, True])
+def test_a_batch_that_is_committed_during_a_fold(spark, tmp_path, point, after):
+    """Before or after each step of a fold, another writer commits a batch, and sends an old one again."""
+    r, other = rollups.Rollup(spark, str(tmp_path / "r")), rollups.Rollup(spark, str(tmp_path / "r"))
+    first = changes(spark, [("insert", "a", "en", "v1", 3, None)])
+    r.apply("b1", first)
+    r.apply("b2", changes(spark, [("insert", "a", "en", "v1", 4, None)]))
+    done = []
+
+    def write():
+        if not done:
+            done.append((other.apply("late", changes(spark, [("insert", "a", "en", "v1", 100, None)])), other.apply("b1", first)))
+
+    def around(step):
+        def run(*args):
+            if not after:
+                write()
+            out = step(*args)
+            write()
+            return out
+
+        return run
+
+    if point == "delete":
+        kept = r._fs
+
+        class Watched:
+            def __getattr__(self, name):
+                return around(kept.delete) if name == "delete" else getattr(kept, name)
+
+        r._fs = Watched()
+    else:
+        setattr(r, point, around(getattr(r, point)))
+    assert r.fold() is True and done == [(True, False)]
+    for _ in range(2):
+        again = rollups.Rollup(spark, r.path)
+        assert totals(again) == {("a", "en", "v1"): (3, 107)} and again.batches() == ["b1", "b2", "late"]
+        again.fold()
+
+
+def test_an_old_draft_of_a_folded_batch_counts_once(spark, tmp_path):
+    r = rollups.Rollup(spark, str(tmp_path / "r"))
+    rows = changes(spark, [("insert", "a", "en", "v1", 3, None)])
+    r.apply("b1", rows)
+    r.apply("b2", rows)
+    r.fold()
+    draft = f"{r.path}/lost/late"
+    rollups.deltas(rows).write.parquet(draft)  # its writer had looked before the batch was committed by another one
+    assert r._commit(draft, r._place("b1")) is True
+    for _ in range(2):
+        assert totals(r) == {("a", "en", "v1"): (2, 6)} and r.batches() == ["b1", "b2"]
+        r.fold()
+
+
+def test_changes_between_null_and_repeated_ids(spark):
+    schema = "doc_id long, source string, lang string, tokenizer string, tokens long"
+    old = [(None, "a", "en", "v", 5), (None, None, None, "v", 2), (1, "a", "en", "v", 1), (1, "a", "en", "v", 1), (2, None, "en", "v", None)]
+    new = [(None, "a", "en", "v", 6), (1, "a", "en", "v", 4), (2, None, "en", "v", None), (None, None, None, "v", 2)]
+    found = rollups.changes_between(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema)).collect()
+    sums = Counter()
+    for r in found:
+        assert r["kind"] in ("insert", "delete", "revise")
+        sums[r["source"], r["lang"], "docs"] += {"insert": 1, "delete": -1, "revise": 0}[r["kind"]]
+        sums[r["source"], r["lang"], "tokens"] += {"insert": r["tokens"], "delete": -r["tokens"], "revise": (r["tokens"] or 0) - (r["old_tokens"] or 0)}[r["kind"]]
+    assert {k: v for k, v in sums.items() if v} == {("a", "en", "docs"): -1, ("a", "en", "tokens"): 10 - 7}
+    assert sorted(r["kind"] for r in found) == ["delete", "delete", "delete", "insert", "insert", "revise"]
+
+
 def test_bad_changes(spark, tmp_path):
     r = rollups.Rollup(spark, str(tmp_path / "r"))
     with pytest.raises(Exception, match="unknown kind"):
