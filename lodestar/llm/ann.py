@@ -10,9 +10,9 @@ Leaves are packed into blocks of bounded size; a leaf with more rows than a bloc
 rows in one leaf does no harm. A query goes to the blocks that hold one of its leaves.
 
 Defined results: see vectors.clean; zero and empty vectors take no part; vectors of different length are compared with
-missing components as 0; equal scores go to the smaller id; fewer than k other rows give all of them, as far as visited
-leaves hold them (with up to LEAST_TREE rows the tree is one leaf and the search exact); an empty table gives an empty
-result.
+missing components as 0; equal scores go to the smaller id; a query visits leaves until they hold k other rows, so fewer
+than k other rows give all of them; equal vectors can't be cut, so a table of one vector, or of one row, is one leaf; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import staged
 from lodestar.llm.vectors import QUERIES_PER_BLOCK, ROWS_PER_BLOCK, blocks_of, clean, in_blocks, matrix, search_blocks
 
-#: Rows that the tree is fitted on at most, and its shape: branches of a node, rows of a leaf, leaves at most.
+#: Rows that the tree is fitted on at most, and its shape: branches of a node at most, rows of a leaf, leaves at least and at most.
 SAMPLE = 20_000
 BRANCHES = 12
-LEAF_ROWS = 256
-LEAST_TREE = 1_024
+LEAF_ROWS = 128
+LEAST_LEAVES = 4
 MOST_LEAVES = 4_096
 ROUNDS = 8
 #: Queries answered by brute force to calibrate, and the recall they must reach: more than the 0.9 asked for.
@@ -60,14 +60,18 @@ class Tree:
 
     @classmethod
     def fit(cls, sample: np.ndarray, leaves: int, seed: int = 7) -> Tree:
-        """A tree of about the number of leaves over the sample, each cut taking the largest node left."""
+        """A tree of about the number of leaves over the sample, each cut taking the largest node left.
+
+        A cut makes so many branches that the tree has two levels below its root, or more, from four leaves on.
+        """
         tree, rng = cls(), np.random.default_rng(seed)
+        branches = min(BRANCHES, max(2, math.isqrt(leaves)))
         unit = sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-300)
         open_nodes = [(-len(unit), tree._node(unit.mean(axis=0) if len(unit) else np.zeros(sample.shape[1])), np.arange(len(unit)))]
         closed = []
-        while open_nodes and len(open_nodes) + len(closed) + BRANCHES - 1 <= leaves:
+        while open_nodes and len(open_nodes) + len(closed) + branches - 1 <= leaves:
             _, node, rows = heapq.heappop(open_nodes)
-            parts = _k_means(unit[rows], BRANCHES, rng) if len(rows) >= 2 * BRANCHES else [np.arange(len(rows))]
+            parts = _k_means(unit[rows], branches, rng) if len(rows) >= branches else [np.arange(len(rows))]
             if len(parts) < 2:
                 closed.append(node)
                 continue
@@ -142,8 +146,8 @@ def nearest(ids: np.ndarray, rows: np.ndarray, own: int, query: np.ndarray, roug
     return ids[some][best], scores[best]
 
 
-def _calibrated(tree: Tree, items: DataFrame, queries: DataFrame, k: int) -> int:
-    """How many leaves to visit. CALIBRATION queries, and k rows a task and query, reach the driver at most."""
+def _calibrated(tree: Tree, items: DataFrame, queries: DataFrame, k: int) -> tuple[int, float]:
+    """How many leaves to visit, and the recall measured with so many. CALIBRATION queries, and k rows a task and query, reach the driver at most."""
     chosen = queries.orderBy(F.xxhash64("id"), "id").limit(CALIBRATION).toPandas()
     ids, asked = chosen["id"].to_numpy(), matrix(chosen["v"], len(tree.centres[0]))
     shared = items.sparkSession.sparkContext.broadcast((tree, ids, asked))
@@ -166,19 +170,22 @@ def _calibrated(tree: Tree, items: DataFrame, queries: DataFrame, k: int) -> int
     n = 1
     while n < tree.leaves and len(visits) and (visits < n).mean() < RECALL:
         n += 1
-    return n
+    return n, float((visits < n).mean()) if len(visits) else 1.0
 
 
 def search(items: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row of items (id, v) that is a query, the k nearest other rows found."""
+    """query_id, rank, vec_id, score: for each row of items (id, v) that is a query, the k nearest other rows found.
+
+    leaves, visits and recall, the same in every row, tell how many leaves the tree has, how many of them a query visits at
+    least, and the share of the true k nearest that the calibration queries found there.
+    """
     spark = items.sparkSession
     items = staged(items, "ann")
     queries = items.where(is_query)
     n, n_queries, width = (x or 0 for x in items.agg(F.count("*"), F.count(F.when(is_query, 1)), F.max(F.size("v"))).first())
     sample = items.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toPandas()
-    leaves = 1 if n <= LEAST_TREE else min(MOST_LEAVES, math.ceil(n / LEAF_ROWS))
-    tree = Tree.fit(matrix(sample["v"], width), leaves)
-    visits = tree.leaves if tree.leaves == 1 else _calibrated(tree, items, queries, k)
+    tree = Tree.fit(matrix(sample["v"], width), min(MOST_LEAVES, max(LEAST_LEAVES, math.ceil(n / LEAF_ROWS))))
+    visits, recall = _calibrated(tree, items, queries, k)
     shared = spark.sparkContext.broadcast(tree)
 
     @F.pandas_udf("int")
@@ -231,7 +238,8 @@ def search(items: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
             "score": np.concatenate([o[2] for o in out]),
         })
 
-    return search_blocks(rows, asked, run, k)
+    told = [F.lit(x).alias(name) for name, x in (("leaves", tree.leaves), ("visits", visits), ("recall", recall))]
+    return search_blocks(rows, asked, run, k).select("*", *told)
 
 
 def searchable(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -107,7 +107,6 @@ def test_ann_recall(spark, monkeypatch):
 
 def test_ann_with_a_hot_vector(spark, monkeypatch):
     """A third of the rows are one vector: its leaf is cut into blocks, and ties go to smaller ids."""
-    monkeypatch.setattr(ann, "LEAST_TREE", 100)
     monkeypatch.setattr(ann, "LEAF_ROWS", 40)
     monkeypatch.setattr(ann, "ROWS_PER_BLOCK", 64)
     rng = np.random.default_rng(4)
@@ -121,6 +120,25 @@ def test_ann_odd_rows(spark):
     assert set(found) == {0, 300} and [i for i, _ in found[0]] == [300, 2, 3] and [i for i, _ in found[300]] == [0, 2, 3]
 
 
+@pytest.mark.parametrize("n", [500, 2_000])
+def test_ann_walks_a_tree_at_every_size(spark, n):
+    """With the registered parameters, in tables like the small ones: a tree of two levels or more, and few misses."""
+    rng = np.random.default_rng(n)
+    middles = rng.normal(size=(40, 16))
+    rows = [(i, (middles[i % 40] + 0.3 * rng.normal(size=16)).tolist()) for i in range(n)]
+    found = ann.search(ann.searchable(table(spark, rows)), F.col("id") % 20 == 0, 20).toPandas()
+    assert set(found["leaves"]) == {max(4, -(-n // 128))} and (found["visits"] < found["leaves"]).all() and (found["recall"] >= ann.RECALL).all()
+    truth = nearest(rows, 20, 20)
+    hits = found.groupby("query_id")["vec_id"].agg(set)
+    assert np.mean([len(hits[q] & set(truth[q])) / 20 for q in truth]) >= 0.9
+
+
+@pytest.mark.parametrize("leaves", [4, 16, 40, 400])
+def test_tree_has_two_levels(leaves):
+    tree = ann.Tree.fit(np.random.default_rng(3).normal(size=(3_000, 8)), leaves)
+    assert any(tree.children[child] for child in tree.children[0]) and leaves - 11 <= tree.leaves <= leaves
+
+
 def test_tree_holds_every_row_in_one_leaf():
     x = np.random.default_rng(2).normal(size=(2000, 8))
     tree = ann.Tree.fit(x, 50)
