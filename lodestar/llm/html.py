@@ -5,8 +5,11 @@ the pages that hold a subtree, where pages of equal text without furniture count
 host's pages are its template and are deleted from each of them. Paragraphs, headings and list items of an article are
 never taken for a template, as articles quote and repeat each other; elsewhere a paragraph or heading goes only if most
 pages of the host hold it, and what stands inside one goes or stays with it. A subtree that holds most of a page's text or
-of its paragraphs is never deleted: the pages that share it are copies, and count once for what it holds. Of what remains, elements that are furniture by tag, role, class or id go as well (a host of few pages shows
-no template), and if an article or main element is left, the text is what that holds.
+of its paragraphs is never deleted: the pages that share it are copies, and count once for what it holds. Of what remains,
+elements that are furniture by tag or role go as well (a host of few pages shows no template), and if an article or main
+element is left, the text is what that holds. A class or id makes furniture only of a container (or, outside of articles, a
+paragraph), only if it says nothing else ("ad", "site-footer", but not "with-sidebar"), and not if most of the text stands in
+it; readers' comments go if any text is left.
 
 A block is what stands between the bounds of block elements. Character references are decoded, white space inside a block
 becomes one space, empty blocks go, and blocks are joined by a line feed in page order.
@@ -60,6 +63,11 @@ FURNITURE_NAMES = frozenset(
     "newsletter subscribe subscription signup login related recommended comment comments commentlist disqus replies reply respond feedback search pagination pager".split()
 )
 
+#: Elements that a name can make furniture; what such a name may say besides; and the names of what readers write.
+CONTAINERS = frozenset("div section aside nav header footer ul ol dl menu form fieldset article center details li".split())
+PLAIN_PARTS = frozenset("site top bottom left right global list box bar wrapper wrap container inner outer area slot unit block".split())
+COMMENT_NAMES = frozenset("comment comments commentlist disqus replies reply respond".split())
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _NAME_PART = re.compile(r"[a-z]+")
@@ -69,7 +77,7 @@ _HOST = re.compile(r"\A\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?
 class Node:
     """An element: its tag, its named attributes, and its parts, which are texts and elements."""
 
-    __slots__ = ("mark", "names", "paragraphs", "parts", "role", "size", "tag")
+    __slots__ = ("mark", "names", "paragraphs", "parts", "role", "size", "tag", "whole")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.names, self.role, self.parts, self.mark = tag, "", "", [], 0
@@ -82,15 +90,17 @@ class Node:
                     self.names += f" {value}"
 
     def is_furniture(self) -> bool:
-        if self.tag in FURNITURE_TAGS or self.role in FURNITURE_ROLES:
-            return True
-        return self.is_named_furniture()
+        return self.tag in FURNITURE_TAGS or self.role in FURNITURE_ROLES
 
-    def is_named_furniture(self) -> bool:
-        """Whether a class or id tells so: by any part of a name, but for articles, as other names describe, by a whole name."""
-        if not self.names or self.tag in ("html", "body", "main"):
-            return False
-        return not FURNITURE_NAMES.isdisjoint(self.names.split() if self.tag == "article" else _NAME_PART.findall(self.names))
+    def told(self, tags: frozenset[str] = CONTAINERS) -> set[str]:
+        """The kinds of furniture that a class or id of an element of tags names, if that says nothing else."""
+        found: set[str] = set()
+        if self.names and self.tag in tags:
+            for name in self.names.split():
+                parts = set(_NAME_PART.findall(name))
+                if parts - PLAIN_PARTS <= FURNITURE_NAMES:
+                    found |= parts - PLAIN_PARTS
+        return found
 
 
 def parse(text: str | None) -> Node:
@@ -168,7 +178,7 @@ def marked(root: Node) -> list[Node]:
 def _mains(root: Node, gone: set[int] | frozenset[int]) -> list[Node]:
     """The outermost article elements that are no furniture; without any, the outermost main elements.
 
-    An element that its name makes furniture, such as a frame "with-sidebar", is looked into only if there are none elsewhere.
+    An element that its name makes furniture is looked into only if there are none elsewhere.
     """
     for tag in ("article", "main"):
         for inner in (False, True):
@@ -176,9 +186,9 @@ def _mains(root: Node, gone: set[int] | frozenset[int]) -> list[Node]:
             while todo:
                 node = todo.pop()
                 if node.tag == tag or (tag == "main" and node.role == "main"):
-                    if not node.is_named_furniture():  # as a reader's comment is
+                    if not node.told():  # as a reader's comment is
                         found.append(node)
-                elif node.mark not in gone and node.tag not in FURNITURE_TAGS and node.role not in FURNITURE_ROLES and (inner or not node.is_named_furniture()):
+                elif node.mark not in gone and not node.is_furniture() and (inner or not node.told()):
                     todo += [p for p in reversed(node.parts) if isinstance(p, Node)]
             if found:
                 return found
@@ -217,20 +227,24 @@ def candidates(root: Node) -> set[int]:
 
 
 def _weigh(root: Node) -> None:
-    """Each element's size, the characters of its words, and its paragraphs, both without furniture inside it."""
+    """Each element's size, the characters of its words, and its paragraphs, both without furniture inside it; whole is the size without regard to names."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         order.append(node)
         todo += [p for p in node.parts if isinstance(p, Node)]
     for node in reversed(order):
-        node.size = node.paragraphs = 0
+        node.size = node.whole = node.paragraphs = 0
         for part in node.parts:
             if isinstance(part, str):
-                node.size += sum(map(len, part.split()))
+                n = sum(map(len, part.split()))
+                node.size += n
+                node.whole += n
             elif not part.is_furniture():
-                node.size += part.size
-                node.paragraphs += part.paragraphs
+                node.whole += part.whole
+                if not part.told():
+                    node.size += part.size
+                    node.paragraphs += part.paragraphs
         if node.tag == "p" and node.size:
             node.paragraphs += 1
 
@@ -249,9 +263,14 @@ def main_text(root: Node, gone: dict[int, int] | frozenset[int]) -> str:
 
     mains = _mains(root, gone)
     tops = mains or [root]
-    if gone:
-        _weigh(root)
-        size, paragraphs = sum(t.size for t in tops), sum(t.paragraphs for t in tops)
+    _weigh(root)
+    size, whole, paragraphs = (sum(getattr(t, name) for t in tops) for name in ("size", "whole", "paragraphs"))
+    nameable = CONTAINERS if mains else CONTAINERS | {"p"}
+
+    def named(node: Node) -> bool:
+        """Whether furniture by its name."""
+        told = node.told(nameable)
+        return bool(told) and (node.whole < whole if told & COMMENT_NAMES else 2 * node.whole <= whole)
 
     def spare(node: Node) -> bool:
         """Whether a template; the pages that share what holds most of this one count once."""
@@ -274,7 +293,7 @@ def main_text(root: Node, gone: dict[int, int] | frozenset[int]) -> str:
                 end()
             elif part is copies:
                 copies.pop()
-            elif part is top or not (part.is_furniture() or spare(part)):
+            elif part is top or not (part.is_furniture() or named(part) or spare(part)):
                 if part.tag in BLOCK:
                     end()
                     todo.append(None)

@@ -1,5 +1,8 @@
 """Main text of pages."""
 
+import random
+from collections import Counter
+
 import pytest
 
 from lodestar.llm import html
@@ -37,6 +40,21 @@ def test_markup(page, expected):
     assert text_of(page) == expected
 
 
+@pytest.mark.parametrize(
+    "page,expected",
+    [
+        ('<div class="page with-sidebar"><p>body</p></div>', "body"), ('<div class="has-menu">a</div><p>b', "a\nb"), ('<p class="search-term">a</p><p>b', "a\nb"),
+        ('<section class="feedback-loops">a</section><p>b', "a\nb"), ('<article><h2 id="search">a</h2><p>b', "a\nb"), ('<p>a <span class="social">life</span> b', "a life b"),
+        ('<table class="widget-prices"><tr><td>a<td>b</table><p>c', "a b\nc"), ('<article><div class="article-header"><h1>a</h1></div><p>b', "a\nb"), ('<article><p class="notice">a</p><p>bcd', "a\nbcd"),
+        ('<div class="sidebar"><p>all that there is</p></div>', "all that there is"), ('<div class="sidebar"><p>most of the text</p></div><p>rest', "most of the text\nrest"),
+        ('<div id="site-footer">no</div><p>yes', "yes"), ('<div class="ad-slot-2">no</div><ul class="left nav">no</ul><p>yes</p>', "yes"), ('<article><p>a</p><div class="comments">longer than all of it</div></article>', "a"),
+        ('<article><p>abc</p><div class="ad">no</div></article>', "abc"), ('<div class="comments">only readers here</div>', "only readers here"),
+    ],
+)
+def test_names_delete_no_content(page, expected):
+    assert text_of(page) == expected
+
+
 def test_very_long_and_deep_pages():
     assert text_of("<div>" * 20_000 + "x") == "x"
     assert len(text_of("<p>" + "word " * 200_000)) == 999_999
@@ -48,6 +66,27 @@ def test_hosts():
     assert {u: html.host_of(u) for u in cases} == cases
 
 
+def test_subtree_counts_against_a_plain_loop(spark):
+    rng = random.Random(4)
+    pieces = [f"<div><b>piece {k}</b></div>" for k in range(6)] + [f"<p>said {k}</p>" for k in range(3)]
+    rows = []
+    for n in range(60):
+        own = "".join(f"<p>own {n} {k} {rng.random()}</p>" for k in range(rng.randrange(1, 4)))
+        rows.append((n, f"http://h{n % 3}.example/", "".join(rng.sample(pieces, rng.randrange(5))) + rng.choice([f"<article>{own}</article>", f"<div>{own}</div>"])))
+    rows += [(100 + k, rows[0][1], rows[0][2]) for k in range(3)]  # copies count once
+    pages = spark.createDataFrame([(i, u, h, "x", "x", "x") for i, u, h in rows], SCHEMA)
+    found = {(r["host"], m): n for r in html.templates(pages).collect() for m, n in zip(r["marks"], r["n"], strict=True)}
+    bodies = {}
+    for _, url, page in rows:
+        root = html.parse(page)
+        html.marked(root)
+        marks = sorted(html.candidates(root))
+        key = html.host_of(url), html.main_text(root, frozenset())
+        bodies[key] = min(bodies.get(key, marks), marks)
+    counts, hosts = Counter((h, m) for (h, _), marks in bodies.items() for m in marks), Counter(h for h, _ in bodies)
+    assert found and found == {(h, m): n for (h, m), n in counts.items() if n >= html.LEAST_PAGES and n >= hosts[h] * (html.PARAGRAPH_SHARE if m % 2 else html.LEAST_SHARE)}
+
+
 SCHEMA = "page_id long, url string, html string, host string, marks string, text string"  # clashing names
 
 
