@@ -126,3 +126,12 @@ def test_sql_says_the_same(spark):
 def test_only_native_operators(spark):
     plan = mixing.mix(table(spark, corpus()))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+@pytest.mark.parametrize("name", ["_doc", "_SOURCE", "_size", "_taken", "key", "Time", "time_"])
+def test_clashing_names(spark, name):
+    docs = spark.createDataFrame([(1, "a b c", "x", "own"), (2, "d e", "y", "own"), (3, None, None, "own")], f"doc_id long, text string, source string, `{name}` string")
+    found = mixing.materialise(docs)
+    assert found.columns == docs.columns
+    rows = found.collect()
+    assert rows and {r[3] for r in rows} == {"own"} and {r["doc_id"] for r in rows} <= {1, 2}
