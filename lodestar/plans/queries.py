@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +11,13 @@ from lodestar.collection import Collection
 from lodestar.functions import vectors as vec
 from lodestar.operators import changes, metadata, search, visibility
 from lodestar.plans import fixtures as fx
-from lodestar.sources import binary
-from lodestar.sources.files import Files
+from lodestar.sources.datasource import register
+from lodestar.sources.files import Files, mounted, shared_dir
+from lodestar.sources.log import CRASH_POINTS, Crash, crash_at
 from lodestar.sources.manifest import Manifest
+from lodestar.sources.memtable import Memtable
 from lodestar.sources.segments import SegmentStore
-from lodestar.types import Metric, Mode, tagged_literal
+from lodestar.types import METADATA, Metric, Mode, tagged_column, tagged_literal
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,13 +36,15 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder for what a query writes: in the folder that the cluster shares, else a local one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return Files.fresh(shared.rstrip("/"), "lodestar-query")
-    folder = tempfile.mkdtemp(prefix="lodestar-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    return folder
+    """A folder for what a query writes, in the folder that the cluster shares."""
+    return Files.fresh(shared_dir(spark), "lodestar-query")
+
+
+def mounted_scratch(spark: SparkSession) -> str:
+    """The same, made, for formats whose files are read and written without Spark."""
+    folder = scratch(spark)
+    Files(spark, folder).make_folder(folder)
+    return mounted(folder)
 
 
 # -- scores ----------------------------------------------------------------------------------------------------------
@@ -504,8 +505,7 @@ def _legacy(spark: SparkSession, sf: str) -> Collection:
 
 @query("snapshot_roundtrip", _SLOTS)
 def snapshot_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    folder = tempfile.mkdtemp(prefix="lodestar-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    folder = mounted_scratch(spark)
     _legacy(spark, sf).save(f"{folder}/all.snapshot")
     again = Collection(spark, 1, Metric.cosine, Mode.legacy)
     again.load(f"{folder}/all.snapshot")
@@ -515,8 +515,7 @@ def snapshot_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 @query("checkpoint_recover", "SELECT vec_id AS id, embedding AS values FROM embeddings WHERE vec_id % 7 <> 0 UNION ALL SELECT 7, embedding FROM embeddings WHERE vec_id = 7")
 def checkpoint_recover(spark: SparkSession, sf: str) -> DataFrame:
     """A snapshot, then a log of what came after it: both are read again."""
-    folder = tempfile.mkdtemp(prefix="lodestar-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    folder = mounted_scratch(spark)
     first = _legacy(spark, sf)
     first.enable_log(f"{folder}/log")
     first.checkpoint(f"{folder}/snapshot")
@@ -530,16 +529,193 @@ def checkpoint_recover(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("binary_segment_roundtrip", "SELECT vec_id AS id, vec_id % 7 = 0 AS is_deleted, CASE WHEN vec_id % 7 <> 0 THEN embedding END AS values FROM embeddings")
 def binary_segment_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """The binary segment codec, a block of rows at a time on the executors."""
-    import pandas as pd
+    """A folder of binary segment files, written by several tasks and read again; what it held before goes."""
+    register(spark)
+    folder = mounted_scratch(spark)
+    rows = fx.vectors(spark, sf)
+    gone = F.col("id") % 7 == 0
+    writer = lambda df: df.write.format("lodestar-segment").option("dimensions", fx.DIMENSIONS).option("metric", Metric.cosine.code)
+    writer(rows.select("id", F.lit(False).alias("is_deleted"), "values")).mode("append").save(folder)
+    writer(rows.repartition(4, "id").select("id", gone.alias("is_deleted"), F.when(~gone, F.col("values")).alias("values"))).mode("overwrite").save(folder)
+    return spark.read.format("lodestar-segment").load(folder)
+
+
+# -- single operations, over all rows --------------------------------------------------------------------------------
+# Legacy collections and memtables live on the driver, so their rows pass through it; a memtable is bounded by its threshold.
+
+_LABEL = "CAST(label AS BIGINT) AS label"
+
+
+@query(
+    "set_metadata_batch",
+    "SELECT vec_id AS id, CASE WHEN vec_id % 3 <> 0 THEN CAST(label AS BIGINT) END AS label, CASE WHEN vec_id % 3 = 0 THEN true END AS third FROM embeddings WHERE vec_id % 5 <> 0 AND (label IS NOT NULL OR vec_id % 3 = 0)",
+)
+def set_metadata_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """Setting metadata replaces all of it; an empty map clears it."""
+    rows = fx.table(spark, sf, "embeddings")
+    none, nothing = F.lit(None).cast("array<float>"), metadata.typed_map({"x": tagged_column("bool", F.lit(None).cast("boolean"))}).cast(METADATA)
+    ops = None
+    for n, (op, every, told) in enumerate((
+        ("insert", 1, metadata.typed_map({"label": tagged_column("int64", F.col("label").cast("long"))}).cast(METADATA)),
+        ("set_metadata", 3, metadata.typed_map({"third": tagged_column("bool", F.lit(True))}).cast(METADATA)),
+        ("set_metadata", 5, nothing),
+    )):
+        part = rows.where(F.col("vec_id") % every == 0).select(
+            (F.lit(n * 1_000_000_000).cast("long") + F.col("vec_id")).alias("seq"), F.lit(op).alias("op"), F.col("vec_id").alias("id"), (F.col("embedding") if n == 0 else none).alias("values"), told.alias("metadata")
+        )
+        ops = part if ops is None else ops.unionByName(part)
+    found = Collection(spark, fx.DIMENSIONS)
+    found.open_lsm(scratch(spark))
+    found.apply(ops)
+    return found.metadata_table().select("id", metadata.read_field("metadata", "label", "int64").alias("label"), metadata.read_field("metadata", "third", "bool").alias("third"))
+
+
+def _each(spark: SparkSession, sf: str) -> list[tuple[int, list[float], int | None]]:
+    """Id, vector and label of all rows, in order of the id."""
+    rows = fx.table(spark, sf, "embeddings").select("vec_id", "embedding", "label").orderBy("vec_id")
+    return [(r["vec_id"], list(r["embedding"]), r["label"]) for r in rows.toLocalIterator()]
 
-    def there_and_back(batches):
-        for b in batches:
-            rows = [(i, i % 7 == 0, None if i % 7 == 0 else list(v)) for i, v in zip(b["id"], b["values"], strict=True)]
-            again = binary.read_segment(binary.write_segment(binary.Rows.of(fx.DIMENSIONS, Metric.cosine.code, rows)))
-            yield pd.DataFrame(list(again), columns=["id", "is_deleted", "values"])
 
-    return fx.vectors(spark, sf).mapInPandas(there_and_back, "id bigint, is_deleted boolean, values array<float>")
+@query(
+    "metadata_of_live_ids",
+    f"SELECT vec_id AS id, vec_id % 7 <> 0 AS live, CASE WHEN vec_id % 7 <> 0 AND vec_id % 3 <> 0 THEN label END AS label, vec_id % 7 <> 0 AND vec_id % 3 = 0 AS third, vec_id % 7 = 0 AS missed FROM (SELECT vec_id, {_LABEL} FROM embeddings)",
+)
+def metadata_of_live_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Metadata by single calls: inserted, replaced for every third, gone with every seventh, which then can't be set."""
+    c, out = Collection(spark, fx.DIMENSIONS, mode=Mode.legacy), []
+    for id, values, label in _each(spark, sf):
+        c.insert(id, values, {} if label is None else {"label": int(label)})
+        if id % 3 == 0:
+            c.set_metadata(id, {"third": True})
+        if id % 7 == 0:
+            c.remove(id)
+        told = c.get_metadata(id)
+        out.append((id, told is not None, (told or {}).get("label"), (told or {}).get("third", False), c.set_metadata(id, told or {}).value == "not_found"))
+    return spark.createDataFrame(out, "id bigint, live boolean, label bigint, third boolean, missed boolean")
+
+
+@query(
+    "legacy_update",
+    "SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN 'not_found' WHEN vec_id % 11 = 0 THEN 'dimension_mismatch' ELSE 'ok' END AS status, CASE WHEN vec_id % 11 = 0 THEN embedding ELSE list_transform(embedding, lambda x: x * 2::FLOAT) END AS values "
+    "FROM embeddings WHERE vec_id % 7 <> 0 UNION ALL SELECT vec_id, CASE WHEN vec_id % 11 = 0 THEN 'dimension_mismatch' ELSE 'not_found' END, NULL FROM embeddings WHERE vec_id % 7 = 0",
+)
+def legacy_update(spark: SparkSession, sf: str) -> DataFrame:
+    """Updates of live and of removed rows, some too short; then what each id holds."""
+    c, out = _legacy(spark, sf), []
+    for id, values, _ in _each(spark, sf):
+        status = c.update(id, [2 * x for x in (values[:-1] if id % 11 == 0 else values)])
+        out.append((id, status.value, c.get(id)))
+    return spark.createDataFrame(out, "id bigint, status string, values array<float>")
+
+
+@query("legacy_positions", f"SELECT pos, id, is_deleted, values, (SELECT count(*) FROM embeddings) AS slots, (SELECT count(*) FROM embeddings WHERE vec_id % 7 <> 0) AS live, 64 AS dimensions FROM ({_SLOTS})")
+def legacy_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """Slot by slot: id, flag, vector; and the sizes."""
+    c = _legacy(spark, sf)
+    rows = [(p, c.id_at(p), c.is_deleted_at(p), c.values_at(p), c.physical_size(), c.size(), c.dimensions) for p in range(c.physical_size())]
+    return spark.createDataFrame(rows, "pos bigint, id bigint, is_deleted boolean, values array<float>, slots bigint, live bigint, dimensions int")
+
+
+_ABSENT = 1_000_000_000
+
+
+@query("memtable_entries", f"SELECT vec_id AS id, vec_id % 7 = 0 AS is_deleted, vec_id % 7 = 0 AS removed, CASE WHEN vec_id % 7 <> 0 THEN embedding END AS values FROM embeddings UNION ALL SELECT {_ABSENT}, true, false, NULL")
+def memtable_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """A remove needs an entry, a tombstone does not."""
+    table = Memtable(fx.DIMENSIONS, 1)
+    for id, values, _ in _each(spark, sf):
+        table.put(id, values)
+    removed = {id for id in [*(i for i, _, _ in table if i % 7 == 0), _ABSENT] if table.remove(id).value == "ok"}
+    table.tombstone(_ABSENT)
+    return spark.createDataFrame([(i, *table.find(i)[:1], i in removed, table.get(i)) for i, _, _ in table], "id bigint, is_deleted boolean, removed boolean, values array<float>")
+
+
+@query("store_put_remove", f"SELECT vec_id AS id, vec_id % 7 = 0 AS is_deleted, CASE WHEN vec_id % 7 <> 0 THEN embedding END AS values, 'ok' AS status FROM embeddings UNION ALL SELECT {_ABSENT}, true, NULL, 'ok'")
+def store_put_remove(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows and tombstones put into a store, and the segment that it flushes. To remove an id that was never there is ok."""
+    rows = _each(spark, sf)
+    store = SegmentStore(spark, fx.DIMENSIONS, flush_threshold_rows=len(rows) + 2)
+    store.open(scratch(spark))
+    for id, values, _ in rows:
+        store.put(id, values)
+    statuses = {store.remove(id) for id in [*(i for i, _, _ in rows if i % 7 == 0), _ABSENT]} | {store.flush()}
+    return store.read(store.manifest.segments[0]).withColumn("status", F.lit(", ".join(sorted(s.value for s in statuses))))
+
+
+@query("auto_flush", "SELECT vec_id AS id, false AS is_deleted, embedding AS values, 'segment-000001.vec' AS segments FROM embeddings")
+def auto_flush(spark: SparkSession, sf: str) -> DataFrame:
+    """The insert that fills the buffer writes it as a segment."""
+    rows, folder = _each(spark, sf), scratch(spark)
+    c = Collection(spark, fx.DIMENSIONS, flush_threshold_rows=max(1, len(rows)))
+    c.open_lsm(folder)
+    for id, values, _ in rows:
+        c.insert(id, values)
+    store = SegmentStore(spark, fx.DIMENSIONS)
+    store.open(folder)
+    return store.newest().withColumn("segments", F.lit(", ".join(c.segments)))
+
+
+@query("facade_flush", "SELECT vec_id AS id, embedding AS values, 'segment-000001.vec' AS segments FROM embeddings")
+def facade_flush(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _each(spark, sf)
+    c = Collection(spark, fx.DIMENSIONS, flush_threshold_rows=len(rows) + 1)
+    c.open_lsm(scratch(spark))
+    for id, values, _ in rows:
+        c.insert(id, values)
+    assert c.segments == []
+    c.flush()
+    return c.live().withColumn("segments", F.lit(", ".join(c.segments)))
+
+
+@query("facade_compact", f"WITH {fx.OPS} SELECT id, v AS values, 'segment-000003.vec' AS segments FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS r FROM j WHERE status = 'ok') WHERE r = 1 AND op <> 'remove'")
+def facade_compact(spark: SparkSession, sf: str) -> DataFrame:
+    """Two batches make two segments, and compaction one of these."""
+    c, ops = Collection(spark, fx.DIMENSIONS, Metric.dot_product), fx.ops(spark, sf)
+    c.open_lsm(scratch(spark))
+    for part in (ops.where("seq < 2000000000"), ops.where("seq >= 2000000000")):
+        c.apply(part)
+    assert len(c.segments) == 2, c.segments
+    c.compact()
+    return c.live().withColumn("segments", F.lit(", ".join(c.segments)))
+
+
+@query("newest_rows_of_memtable", f"WITH {fx.VERSIONS}, {fx.NEWEST} SELECT id, CASE WHEN id % 2 = 0 THEN NULL ELSE v END AS values FROM (SELECT vec_id AS id FROM embeddings) LEFT JOIN l USING (id)")
+def newest_rows_of_memtable(spark: SparkSession, sf: str) -> DataFrame:
+    """Each id as a store shows it that has tombstones of even ids in its memtable, over three segments."""
+    store = _written(spark, sf)
+    rows = _each(spark, sf)
+    store.memtable.flush_threshold_rows = len(rows) + 1
+    for id, _, _ in rows:
+        if id % 2 == 0:
+            store.remove(id)
+    shown = store.visible(store.memtable.frame(spark))
+    return fx.vectors(spark, sf).select("id").join(shown, "id", "left")
+
+
+@query(
+    "crash_recovery",
+    "SELECT point, CAST(n - lost AS BIGINT) AS n FROM (SELECT count(*) AS n FROM embeddings), (VALUES ('before_log_append', 1), ('after_log_append_before_flush', 1), ('after_log_flush', 0), ('after_memory_apply', 0), ('after_checkpoint_snapshot', 0), ('after_checkpoint_before_truncate', 0)) t(point, lost)",
+)
+def crash_recovery(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that are there again after a crash at each point: an operation is logged, and on disk, before it changes anything."""
+    rows, out = _each(spark, sf), []
+    for point in CRASH_POINTS:
+        folder = mounted_scratch(spark)
+        c = Collection(spark, fx.DIMENSIONS, mode=Mode.legacy)
+        for id, values, _ in rows[:-1]:
+            c.insert(id, values)
+        c.enable_log(f"{folder}/log")
+        c.checkpoint(f"{folder}/snapshot")
+        c._crash = crash_at(point)
+        try:
+            c.insert(rows[-1][0], rows[-1][1])
+            c.checkpoint(f"{folder}/snapshot")
+        except Crash:
+            pass
+        again = Collection(spark, fx.DIMENSIONS, mode=Mode.legacy)
+        again.open(f"{folder}/snapshot", f"{folder}/log")
+        out.append((point, again.size()))
+    return spark.createDataFrame(out, "point string, n bigint")
 
 
 @query("typed_literals", "SELECT * FROM (VALUES ('int64', '42'), ('double', '42.0'), ('string', '42'), ('bool', 'true')) t(kind, payload)")

@@ -2,10 +2,39 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
 import uuid
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import SparkSession
 
+_own_dir: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of this machine's, if that is all of the cluster."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and the executors of {master} share")
+        if not _own_dir:
+            _own_dir.append(tempfile.mkdtemp(prefix="lodestar-"))
+            atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
+        found = _own_dir[0]
+    return found.rstrip("/")
+
+
+def mounted(path: str) -> str:
+    """A path, or a file: address, as one that open() takes."""
+    parts = urlparse(path)
+    if parts.scheme not in ("", "file"):
+        raise ValueError(f"{path} is not on a mounted file system")
+    return unquote(parts.path) if parts.scheme else path
+
 
 class Files:
     """Driver-side access to one root. Paths are given in full."""
@@ -23,9 +52,6 @@ class Files:
     def make_folder(self, path: str) -> None:
         self._fs.mkdirs(self._path(path))
 
-    def names(self, path: str) -> list[str]:
-        return sorted(f.getPath().getName() for f in self._fs.listStatus(self._path(path))) if self.exists(path) else []
-
     def read(self, path: str) -> bytes:
         stream = self._fs.open(self._path(path))
         try:
@@ -54,9 +80,6 @@ class Files:
         options[0] = overwrite
         context.rename(context.makeQualified(self._path(source)), context.makeQualified(self._path(target)), options)
 
-    def move(self, source: str, target: str) -> bool:
-        return self._fs.rename(self._path(source), self._path(target))
-
     def delete(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
 

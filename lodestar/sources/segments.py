@@ -4,28 +4,44 @@ from __future__ import annotations
 
 import logging
 
+from collections.abc import Sequence
+
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.vectors import has_dimensions
-from lodestar.operators.visibility import compacted, newest, versions
+from lodestar.operators.visibility import compacted, newest, point_get, versions
 from lodestar.sources.files import Files
 from lodestar.sources.manifest import Manifest, next_segment
+from lodestar.sources.memtable import Memtable
 from lodestar.types import ROWS, Status
 
 log = logging.getLogger(__name__)
 
 
+FLUSH_THRESHOLD = 1024
+#: What Spark says of a segment that is missing, or whose files are no Parquet.
+_DAMAGED = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "CANNOT_READ_FILE_FOOTER", "is not a Parquet file", "FileNotFoundException")
+
+
+class NoSegment(ValueError):
+    """A table whose columns are not a segment's."""
+
+
 class SegmentStore:
-    """The segments of a folder.
+    """The segments of a folder, and the memtable of what is written next.
 
     A segment is written in full before the manifest lists it, and a manifest is published before anything is forgotten;
     so a crash leaves the old state or the new one, and at most an unlisted folder.
     """
 
-    def __init__(self, spark: SparkSession, dimensions: int, on_corrupt: str = "skip"):
+    def __init__(self, spark: SparkSession, dimensions: int, on_corrupt: str = "fail", flush_threshold_rows: int = FLUSH_THRESHOLD):
+        """on_corrupt: whether reads "fail" on a segment that is missing or damaged, or "skip" it, with a warning."""
         self.spark, self.dimensions, self.on_corrupt = spark, dimensions, on_corrupt
         self.folder, self.manifest, self.files = "", Manifest(), None
+        self.memtable = Memtable(dimensions, flush_threshold_rows)
+        self._known: dict[str, DataFrame] = {}  # segments never change
 
     def open(self, folder: str) -> Status:
         """Take a folder, which is made if need be, and read its manifest."""
@@ -35,7 +51,7 @@ class SegmentStore:
         files.make_folder(folder)
         status = manifest.load(files, folder)
         if status is Status.ok:
-            self.folder, self.manifest, self.files = folder.rstrip("/"), manifest, files
+            self.folder, self.manifest, self.files, self._known = folder.rstrip("/"), manifest, files, {}
         return status
 
     @property
@@ -43,22 +59,59 @@ class SegmentStore:
         return bool(self.folder)
 
     def read(self, name: str, on_corrupt: str | None = None) -> DataFrame | None:
-        """One segment; None if it is missing or unreadable and such segments are to be skipped."""
+        """One segment; None if it is missing or damaged and such segments are to be skipped. Any other failure is raised."""
+        if name in self._known:
+            return self._known[name]
         try:
             found = self.spark.read.parquet(f"{self.folder}/{name}")
             if found.columns != ["id", "is_deleted", "values"]:
-                raise ValueError(f"{name} is no segment")
-            return found
-        except Exception as error:
-            if (on_corrupt or self.on_corrupt) == "fail":
+                raise NoSegment(name)
+        except (PySparkException, NoSegment) as error:
+            damaged = isinstance(error, NoSegment) or any(said in str(error) for said in _DAMAGED)
+            if not damaged or (on_corrupt or self.on_corrupt) == "fail":
                 raise
             log.warning("segment %s is skipped: %s", name, str(error).splitlines()[0])
             return None
+        self._known[name] = found
+        return found
 
     def segments(self, on_corrupt: str | None = None) -> list[DataFrame]:
         """The listed segments, oldest first."""
         return [df for name in self.manifest.segments if (df := self.read(name, on_corrupt)) is not None]
 
+    def put(self, id: int, values: Sequence[float]) -> Status:
+        """Write a row to the memtable, which is flushed once it is full."""
+        status = self.memtable.put(id, values)
+        return self._flush_if_full() if status is Status.ok else status
+
+    def remove(self, id: int) -> Status:
+        """Write a tombstone to the memtable. That is always ok, also for an id that was never written."""
+        self.memtable.tombstone(id)
+        return self._flush_if_full()
+
+    def _flush_if_full(self) -> Status:
+        return self.flush() if self.is_open and self.memtable.needs_flush() else Status.ok
+
+    def flush(self) -> Status:
+        """Write the memtable as a segment, and forget it only once the manifest lists that. Without rows there is nothing to do."""
+        if not self.is_open:
+            return Status.invalid_argument
+        if not len(self.memtable):
+            return Status.ok
+        status = self.write(self.memtable.frame(self.spark).coalesce(1))
+        if status is Status.ok:
+            self.memtable.clear()
+        return status
+
+    def get(self, id: int) -> list[float] | None:
+        """The newest vector of an id, from the memtable or by one job over all segments."""
+        found = self.memtable.find(id)
+        if found is not None:
+            return found[1]
+        parts = self.segments() if self.is_open else []
+        row = point_get(versions(parts), id).first() if parts else None
+        return list(row["values"]) if row else None
+
     def write(self, rows: DataFrame) -> Status:
         """Add a segment of rows (id, is_deleted, values), sorted by id so that scans for an id skip row groups."""
         if not self.is_open:
@@ -91,6 +144,7 @@ class SegmentStore:
         status = self._publish([name])
         if status is Status.ok:
             for gone in old:
+                self._known.pop(gone, None)
                 self.files.delete(f"{self.folder}/{gone}")
         return status
 

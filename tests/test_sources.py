@@ -111,22 +111,49 @@ def test_store(spark, tmp_path):
 
 
 def test_missing_segments_are_skipped_by_reads_and_stop_compaction(spark, tmp_path):
-    store = SegmentStore(spark, 2)
+    store = SegmentStore(spark, 2, on_corrupt="skip")
     store.open(str(tmp_path))
     store.write(rows(spark, [(1, False, [1.0, 0.0])]))
     store.write(rows(spark, [(2, False, [1.0, 0.0])]))
     store.files.delete(f"{tmp_path}/segment-000001.vec")
+    strict = SegmentStore(spark, 2)
+    strict.open(str(tmp_path))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        strict.visible()
     assert seen(store) == {2: [1.0, 0.0]}
     with pytest.raises(Exception):
         store.compact()
     assert len(store.manifest.segments) == 2 and seen(store) == {2: [1.0, 0.0]}
 
 
+def test_a_store_writes_reads_and_flushes_by_itself(spark, tmp_path):
+    store = SegmentStore(spark, 2, flush_threshold_rows=3)
+    assert store.remove(9) is Status.ok and store.flush() is Status.invalid_argument and store.get(9) is None
+    store.open(str(tmp_path))
+    assert store.put(1, [1]) is Status.dimension_mismatch and store.put(1, [1, 0]) is Status.ok and store.manifest.segments == []
+    assert store.put(2, [2, 0]) is Status.ok and store.manifest.segments == ["segment-000001.vec"] and len(store.memtable) == 0
+    assert store.get(1) == [1, 0] and store.remove(1) is Status.ok and store.get(1) is None and store.memtable.find(1) == (True, None) and store.memtable.find(2) is None
+    assert store.flush() is Status.ok and store.get(1) is None and store.get(2) == [2, 0] and store.memtable.remove(2) is Status.not_found
+    assert store.memtable.live_count() == 0 and store.flush() is Status.ok and len(store.manifest.segments) == 2
+
+
 def test_binary_data_sources(spark, tmp_path):
     register(spark)
     path = str(tmp_path / "one.vec")
     rows(spark, DATA).coalesce(1).write.format("lodestar-segment").option("dimensions", 2).option("metric", Metric.euclidean.code).mode("append").save(path)
     assert sorted((r["id"], r["is_deleted"], r["values"]) for r in spark.read.format("lodestar-segment").load(path).collect()) == sorted(DATA)
+    four = spark.range(100).repartition(4).selectExpr("id", "id % 7 = 0 AS is_deleted", "CASE WHEN id % 7 <> 0 THEN array(cast(id AS float), 1f) END AS values")
+    write = lambda mode: four.write.format("lodestar-segment").option("dimensions", 2).mode(mode).save(path)
+    read = lambda: sorted((r["id"], r["is_deleted"], r["values"]) for r in spark.read.format("lodestar-segment").load(path).collect())
+    want = sorted((i, i % 7 == 0, None if i % 7 == 0 else [float(i), 1.0]) for i in range(100))
+    write("append")
+    assert read() == sorted(want + DATA, key=lambda r: r[:2] + ((r[2] or []),))
+    write("overwrite")
+    assert read() == want and len(list((tmp_path / "one.vec").glob("part-*"))) == 4
+    (tmp_path / "one.vec" / "part-of-a-task-that-died.vec").write_bytes(b"torn")
+    assert read() == want
+    four.limit(0).write.format("lodestar-segment").option("dimensions", 2).mode("overwrite").save(path)
+    assert read() == []
     (tmp_path / "s").write_bytes(binary.write_snapshot(binary.Rows.of(2, 0, [(5, True, [1.0, 1.0]), (5, False, [2.0, 2.0])], keep_deleted_values=True)))
     assert [(r["pos"], r["id"], r["is_deleted"]) for r in spark.read.format("lodestar-snapshot").load(str(tmp_path / "s")).collect()] == [(0, 5, True), (1, 5, False)]
     (tmp_path / "l").write_bytes(binary.write_record(binary.Record("delete", 3, lsn=1)))
