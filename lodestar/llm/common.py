@@ -5,15 +5,14 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
-import re
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.sources.files import shared_dir
+
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The characters between words, for str.translate and str.split.
@@ -36,23 +35,6 @@ def word_count(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of this machine's, if that is all of the cluster."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if not re.fullmatch(r"local(\[.*\])?", master):
-            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and the executors of {master} share")
-        if not _own_dir:
-            _own_dir.append(tempfile.mkdtemp(prefix="lodestar-"))
-            atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
-        found = _own_dir[0]
-    return found.rstrip("/")
-
-
 #: Rows of texts, and bytes, that pass between the JVM and Python at once.
 TEXTS_PER_BATCH = 512
 BYTES_PER_BATCH = 8 << 20

@@ -85,3 +85,34 @@ def test_bands_follow_from_the_similarity(percent, bands, band):
     scheme = neardup.Scheme.of(percent)
     assert (scheme.bands, scheme.band) == (bands, band)
     assert (1 - (percent / 100) ** band) ** bands <= neardup.MISSED
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _size string, Copy string"
+
+
+def test_odd_rows_pass_through_all_stages(spark, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows and ids, clashing names; and an empty table."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("aeioulnrst") for _ in range(6)) for _ in range(900)]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    same, passage = text(80), text(60)
+    rows = [(1, same, "en", "a", None, "s", "c"), (2, same, None, None, 1, None, None), (2, same, None, None, 1, None, None), (3, None, "en", "a", 0, "s", "c"), (4, "", "en", "b", 0, "s", "c")]
+    rows += [(None, text(70), "en", "a", 1, "s", "c"), (5, text(30_000), "en", "b", 1, "s", "c"), (6, passage + " " + text(70), "en", "a", 1, "s", "c"), (7, text(70) + " " + passage, "en", "b", 1, "s", "c")]
+    rows += [(8, text(60), "en", "a", 1, "s", "c"), (8, text(65), "en", "a", 1, "s", "c")]
+    for name, part in (("full", rows), ("empty", [])):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (None, 1, 1), (5, None, None)] if part else [], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        docs, kept = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet"), {}
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            made = f(spark, docs, f"{tmp_path}/{name}")
+            assert made.dtypes == docs.dtypes
+            made.write.parquet(f"{tmp_path}/{name}-{stage}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}-{stage}")
+            kept[stage] = sorted(r["doc_id"] or -1 for r in docs.collect())
+        final = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        if name == "empty":
+            assert final == [] and not any(kept.values())
+        else:
+            assert kept["toxicity"] == [-1, 1, 2, 2, 3, 4, 5, 6, 7, 8, 8]
+            assert kept["near_duplicates"] == kept["substring_dedup"] == [-1, 1, 3, 4, 5, 6, 7, 8, 8]
+            assert set(kept["mix"]) <= {-1, 1, 5, 6, 7, 8} and len(final) == len(kept["mix"])
