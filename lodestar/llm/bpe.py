@@ -9,8 +9,7 @@ The vocabulary is a file of the tokenizers library with: special tokens found in
 by a fixed pattern, bytes as visible characters, an end-of-word suffix and no decoder (decoding joins tokens by a
 space). Its path is a parameter.
 
-White space, letters and digits are those of Unicode 16. Lower case and NFC are those of the running Python: characters newer
-than its tables (55 capitals of Unicode 16 and 17 under Python 3.13, and some rare marks) stay as they are.
+White space, letters and digits are those of Unicode 16, lower case is that of Unicode 17, and NFC that of the running Python.
 
 Defined results: a null text is empty; an empty text has no tokens, and its ids and decoded text are empty strings; very
 long words merge in n log n; repeated rows give repeated results; an empty table gives an empty result; null ids stay
@@ -61,6 +60,10 @@ _UNICODE_16 = (
     "1c89-1c8a a7cb-a7cd a7da-a7dc 105c0-105f3 10d40-10d65 10d6f-10d85 10ec2-10ec4 11380-11389 1138b 1138e 11390-113b5 113b7 113d1 "
     "113d3 116d0-116e3 11bc0-11be0 11bf0-11bf9 13460-143fa 16100-1611d 16130-16139 16d40-16d6c 16d70-16d79 18cff 1ccf0-1ccf9 1e5d0-1e5ed 1e5f0-1e5fa"
 )
+# The capitals that Unicode 16 and 17 added, and how far off the small letter is.
+_LATE_CAPITALS = {0x1C89: 1, 0xA7CB: 0x264 - 0xA7CB, 0xA7CC: 1, 0xA7CE: 1, 0xA7D2: 1, 0xA7D4: 1, 0xA7DA: 1, 0xA7DC: 0x19B - 0xA7DC}
+_LATE_CAPITALS |= dict.fromkeys(range(0x10D50, 0x10D66), 0x20) | dict.fromkeys(range(0x16EA0, 0x16EB9), 0x1B)
+_LATE = regex.compile("[" + "".join(map(chr, _LATE_CAPITALS)) + "]")
 #: Below this code point all Unicode versions agree.
 _AGREED = "\u0557"
 
@@ -201,6 +204,7 @@ def _normal(text: str) -> str:
     """NFC and lower case by single characters (a final sigma is no special case)."""
     if not text.isascii():
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        text = _LATE.sub(lambda found: chr(ord(found[0]) + _LATE_CAPITALS[ord(found[0])]), text)
     return text.lower()
 
 
