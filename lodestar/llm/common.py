@@ -8,6 +8,7 @@ import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,12 +96,18 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
         try:
             yield from run(batches)
         finally:
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return wrapped
 
 
+def give_back() -> None:
+    """Return memory that neither Arrow's pool nor the allocator needs any more to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def drop_staged(df: DataFrame) -> None:
     """Remove the staged files that df reads, once nothing needs them."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

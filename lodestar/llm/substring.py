@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import drop_staged, in_small_batches, staged, tidy, unused
+from lodestar.llm.common import drop_staged, give_back, in_small_batches, staged, tidy, unused
 
 WINDOW = 50
 PHRASE = 8
@@ -171,6 +171,8 @@ def _candidates(docs: pa.Table, phrases: pa.Table) -> pa.Table:
                 last = np.r_[first[1:], len(at)] - 1
                 rows = h1[first], h2[first], np.full(len(first), doc_id), np.full(len(first), tag), at[first] << 32 | (at[last] - at[first])
                 out.append(pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, schema, strict=True)], schema=schema))
+    del shard, known  # the automaton and the words go before the rows are passed on
+    give_back()
     return pa.Table.from_batches(out, schema)
 
 
