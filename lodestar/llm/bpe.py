@@ -437,8 +437,9 @@ class Lexicon:
 class _Known(dict):
     """(ids, tokens, both joined by spaces) of chunks. It takes new ones until it is full: the frequent ones come early."""
 
-    def __init__(self, vocab: Vocabulary, block: bytes):
+    def __init__(self, vocab: Vocabulary, block: bytes, room: int | None = None):
         super().__init__()
+        self.room = KNOWN_CHUNKS if room is None else room
         self.vocab, self.lexicon, self.merger = vocab, Lexicon.mapped(block), Merger(vocab)
         most = max(vocab.tokens) + 1
         self.numbers, self.tokens = list(map(str, range(most))), [vocab.tokens.get(i, "") for i in range(most)]
@@ -479,16 +480,16 @@ class _Known(dict):
             elif len(ws) != 1 or ws[0] != c:
                 parts = [here[w] for w in ws]
                 here[c] = " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
-        room = KNOWN_CHUNKS - len(self)
+        room = self.room - len(self)
         if room > 0:
             self.update((c, here[c]) for c in itertools.islice(itertools.chain(words, new), room))
 
 
 @contextlib.contextmanager
-def _table(vocab: Vocabulary, block: bytes) -> Iterator[_Known]:
+def _table(vocab: Vocabulary, block: bytes, room: int | None = None) -> Iterator[_Known]:
     """The table of one task. It holds strings only, in which the collector would look for cycles again and again; and it
     goes with the task, as the worker lives on."""
-    known, collects = _Known(vocab, block), gc.isenabled()
+    known, collects = _Known(vocab, block, room), gc.isenabled()
     gc.disable()
     try:
         yield known
@@ -498,13 +499,13 @@ def _table(vocab: Vocabulary, block: bytes) -> Iterator[_Known]:
             gc.enable()
 
 
-def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            yield batch.slice(at, SLICE)
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
-def frequent_words(texts: DataFrame, vocab, n: int = LEXICON_WORDS) -> DataFrame:
+def frequent_words(texts: DataFrame, vocab, n: int = LEXICON_WORDS, counted: int = COUNTED_CHUNKS) -> DataFrame:
     """The words that are most frequent in all texts, n at most, with their counts.
 
     Tasks count first, and words are shuffled once each. Words of about the same count come or stay away together.
@@ -524,7 +525,7 @@ def frequent_words(texts: DataFrame, vocab, n: int = LEXICON_WORDS) -> DataFrame
         for batch in _slices(batches):
             for text in batch.column(0).to_pylist():
                 seen.update(v.chunks(text))
-            if len(seen) >= COUNTED_CHUNKS:
+            if len(seen) >= counted:
                 yield counts()
         if seen:
             yield counts()
@@ -542,9 +543,9 @@ def frequent_words(texts: DataFrame, vocab, n: int = LEXICON_WORDS) -> DataFrame
     return counts.where(F.lit(False) if least is None else step >= least)
 
 
-def lexicon_for(texts: DataFrame, vocab: Vocabulary, shared) -> bytes:
+def lexicon_for(texts: DataFrame, vocab: Vocabulary, shared, counted: int = COUNTED_CHUNKS) -> bytes:
     """The lexicon of the frequent words of texts. LEXICON_WORDS rows reach the driver at most."""
-    return Lexicon.compile({r["word"]: vocab.merge(r["word"]) for r in frequent_words(texts, shared).collect()})
+    return Lexicon.compile({r["word"]: vocab.merge(r["word"]) for r in frequent_words(texts, shared, counted=counted).collect()})
 
 
 def encode(docs: DataFrame, vocab_path: str, text: str = "text", keep: Iterable[str] = ("doc_id",)) -> DataFrame:
@@ -576,17 +577,21 @@ def decode(rows: DataFrame, vocab_path: str, ids: str = "ids") -> DataFrame:
     return rows.withColumn("decoded", text_of(F.col(ids)))
 
 
-def digest(docs: DataFrame, vocab_path: str, keep: Iterable[str] = (), with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, and the hashes of ids and of the decoded text, of every whole text; after them the columns keep and, if asked for, ids."""
+def digest(docs: DataFrame, vocab_path: str, keep: Iterable[str] = (), with_ids: bool = False, chunks: int | None = None, rows: int = SLICE) -> DataFrame:
+    """doc_id, n_tokens, and the hashes of ids and of the decoded text, of every whole text; after them the columns keep and, if asked for, ids.
+
+    chunks: distinct ones that a task keeps at once, and rows: texts that it works on at once. Fewer take less memory and
+    more time, and give the same.
+    """
     spark, keep = in_small_batches(docs).sparkSession, list(keep)
     vocab = Vocabulary(vocab_path)
     shared = spark.sparkContext.broadcast(vocab)
-    block = spark.sparkContext.broadcast(lexicon_for(docs.select("text"), vocab, shared))
+    block = spark.sparkContext.broadcast(lexicon_for(docs.select("text"), vocab, shared, chunks or COUNTED_CHUNKS))
 
     def run(batches):
         v, first, second = shared.value, operator.itemgetter(0), operator.itemgetter(1)
-        with _table(v, block.value) as known:
-            for batch in _slices(batches):
+        with _table(v, block.value, chunks) as known:
+            for batch in _slices(batches, rows):
                 n, of_ids, of_text, all_ids = [], [], [], []
                 for found in known.of(batch.column(0).to_pylist()):
                     ids = " ".join(map(first, found))

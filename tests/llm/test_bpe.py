@@ -88,6 +88,7 @@ def test_digest_encode_decode(spark, reference, monkeypatch):
     docs = spark.createDataFrame([(i if i else None, t, "ids") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
     found = {r["doc_id"]: tuple(r)[1:] for r in bpe.digest(docs, bpe.vocabulary_path()).collect()}
     assert found == {i if i else None: digests(reference, t) for i, t in enumerate(texts)}
+    assert {tuple(r) for r in bpe.digest(docs, bpe.vocabulary_path(), chunks=3, rows=2).collect()} == {(k, *v) for k, v in found.items()}
     decoded = bpe.decode(bpe.encode(docs, bpe.vocabulary_path()), bpe.vocabulary_path()).collect()
     for r in decoded:
         ids = reference.encode(texts[r["doc_id"] or 0] or "", add_special_tokens=False).ids
