@@ -65,7 +65,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text is encoded as the empty one, without ids; every row gives one row, repeated ones and null ids too; texts
     are encoded whole.
     """
-    return bpe.digest(docs, bpe.vocabulary_path(), keep=["lang", "source"], with_ids=True)
+    return bpe.digest(docs, bpe.vocabulary_path(), keep=["lang", "source"], with_ids=True, chunks=100_000, rows=128)
 
 
 STAGES: list[tuple[str, Stage]] = [
