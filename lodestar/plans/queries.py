@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.collection import Collection
@@ -447,11 +447,11 @@ def _written(spark: SparkSession, sf: str, compact: bool = False) -> SegmentStor
 
 @query("memtable_flush_order", "SELECT id, rank() OVER (ORDER BY id) - 1 AS at FROM (SELECT vec_id AS id FROM embeddings)")
 def memtable_flush_order(spark: SparkSession, sf: str) -> DataFrame:
-    """A flushed segment holds its rows in order of the id."""
+    """A flushed segment holds its rows in order of the id, over all of its files; rows that share an id share the first one's place."""
     store = SegmentStore(spark, fx.DIMENSIONS)
     store.open(scratch(spark))
-    store.write(fx.segments(spark, sf)[0].repartition(4).coalesce(1))
-    return store.read(store.manifest.segments[0]).select("id", F.monotonically_increasing_id().alias("at"))
+    store.write(fx.segments(spark, sf)[0].repartitionByRange(F.asc_nulls_last("id")))
+    return store.positions(store.manifest.segments[0]).select("id", F.min("at").over(Window.partitionBy("id")).alias("at"))
 
 
 @query("segment_roundtrip", f"WITH {fx.VERSIONS} SELECT id, g AS generation, gone AS is_deleted, v AS values FROM s")

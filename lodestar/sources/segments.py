@@ -7,7 +7,7 @@ import logging
 from collections.abc import Sequence
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.vectors import has_dimensions
@@ -75,6 +75,18 @@ class SegmentStore:
         self._known[name] = found
         return found
 
+    def positions(self, name: str) -> DataFrame:
+        """(id, at): the place of every row of a segment, from 0, over its files in the order of the partitions written.
+
+        The files themselves tell a row's place, so it doesn't depend on the splits in which they are read.
+        """
+        rows = self.read(name, "fail").select("id", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        order = [F.regexp_extract("_file", r"^part-(\d+)-.*-c(\d+)", k).try_cast("bigint") for k in (1, 2)]
+        sizes = rows.groupBy("_file").agg(F.count("*").alias("_n"))
+        before = F.coalesce(F.sum("_n").over(Window.orderBy(*order, "_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        starts = sizes.select("_file", before.alias("_before"))  # a row for each file
+        return rows.join(F.broadcast(starts), "_file").select("id", (F.col("_before") + F.col("_row")).alias("at"))
+
     def segments(self, on_corrupt: str | None = None) -> list[DataFrame]:
         """The listed segments, oldest first."""
         return [df for name in self.manifest.segments if (df := self.read(name, on_corrupt)) is not None]
@@ -113,11 +125,14 @@ class SegmentStore:
         return list(row["values"]) if row else None
 
     def write(self, rows: DataFrame) -> Status:
-        """Add a segment of rows (id, is_deleted, values), sorted by id so that scans for an id skip row groups."""
+        """Add a segment of rows (id, is_deleted, values), sorted by id so that scans for an id skip row groups.
+
+        Each partition of rows becomes a file; null ids come last in it.
+        """
         if not self.is_open:
             return Status.invalid_argument
         name = next_segment(self.manifest.segments)
-        rows.select("id", "is_deleted", F.when(~F.col("is_deleted"), F.col("values")).alias("values")).sortWithinPartitions("id").write.mode("overwrite").parquet(f"{self.folder}/{name}")
+        rows.select("id", "is_deleted", F.when(~F.col("is_deleted"), F.col("values")).alias("values")).sortWithinPartitions(F.asc_nulls_last("id")).write.mode("overwrite").parquet(f"{self.folder}/{name}")
         return self._publish([*self.manifest.segments, name])
 
     def _publish(self, names: list[str]) -> Status:

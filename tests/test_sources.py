@@ -2,8 +2,10 @@
 
 import struct
 
+import duckdb
 import pytest
 
+from lodestar.plans.queries import ORACLE_SQL, QUERIES
 from lodestar.sources import binary, manifest
 from lodestar.sources.datasource import register
 from lodestar.sources.files import Files
@@ -137,6 +139,54 @@ def test_a_store_writes_reads_and_flushes_by_itself(spark, tmp_path):
     assert store.memtable.live_count() == 0 and store.flush() is Status.ok and len(store.manifest.segments) == 2
 
 
+def embeddings(spark, folder, ids):
+    """A table of vectors that don't compress, in four files."""
+    table = spark.createDataFrame([(i,) for i in ids], "vec_id bigint").repartition(4)
+    table.selectExpr("vec_id", "transform(sequence(1, 64), k -> cast(hash(vec_id, k) AS float)) AS embedding", "0 AS label").write.parquet(f"{folder}/embeddings.parquet")
+
+
+def flush_order(spark, folder):
+    """What the query gives, and what its SQL does, sorted."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS FROM '{folder}/embeddings.parquet/*.parquet'")
+    by_place = lambda r: (r[1], r[0] is None, r[0])
+    found = QUERIES["memtable_flush_order"](spark, str(folder))
+    assert found.dtypes == [("id", "bigint"), ("at", "bigint")]
+    return sorted(map(tuple, found.collect()), key=by_place), sorted(con.sql(ORACLE_SQL["memtable_flush_order"]).fetchall(), key=by_place)
+
+
+def test_flush_order_in_many_splits(spark, tmp_path):
+    embeddings(spark, tmp_path, [(i * 617) % 3001 for i in range(3001)])
+    small = {"spark.sql.files.maxPartitionBytes": "16k", "spark.sql.files.openCostInBytes": "1k", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxRecordsPerFile": "200"}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        got, want = flush_order(spark, tmp_path)
+    finally:
+        for k in small:
+            spark.conf.unset(k)
+    assert got == want == [(i, i) for i in range(3001)]
+
+
+@pytest.mark.parametrize("ids", [[], [None], [7], [5, -3, None, 5, 2**63 - 1, None, 0, 5, -(2**63)], [4] * 50 + [None] * 50 + list(range(100))])
+def test_flush_order_of_odd_ids(spark, tmp_path, ids):
+    embeddings(spark, tmp_path, ids)
+    got, want = flush_order(spark, tmp_path)
+    assert got == want and len(got) == len(ids)
+
+
+def test_positions_run_over_files_as_they_were_written(spark, tmp_path):
+    store = SegmentStore(spark, 2)
+    store.open(str(tmp_path))
+    store.write(rows(spark, [(i, i % 7 == 0, None if i % 7 == 0 else [1.0, 0.0]) for i in range(100)]).repartitionByRange(13, "id"))
+    assert len(list((tmp_path / "segment-000001.vec").glob("part-*"))) > 9
+    assert sorted(map(tuple, store.positions("segment-000001.vec").collect())) == [(i, i) for i in range(100)]
+    store.write(rows(spark, [(2, False, [1.0, 0.0]), (1, True, None), (3, False, [0.0, 1.0])]).coalesce(1))
+    assert sorted(map(tuple, store.positions("segment-000002.vec").collect())) == [(1, 0), (2, 1), (3, 2)]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        store.positions("segment-000009.vec")
+
+
 def test_binary_data_sources(spark, tmp_path):
     register(spark)
     path = str(tmp_path / "one.vec")
